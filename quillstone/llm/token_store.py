@@ -191,7 +191,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
             return
         encode, (fs, root) = encoder(path).encode_all, open_fs(folder)
         name, n_docs, n_ids, least = f"{root}/{uuid.uuid4().hex}.ids.zst", 0, 0, first.column("doc_id")[0].as_py()
-        with fs.open_output_stream(name) as sink:
+        with fs.open_output_stream(name, compression=None) as sink:
             out = ShardWriter(sink)
             for batch in small_batches(chain([first], batches), "text"):
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(as_bytes(batch.column("text"))), strict=True):
