@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontam, simhash, token_store
+from . import bpe_count, decontam, rules, simhash, substring, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -32,9 +36,23 @@ def op6_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_simhash_near_dedup,
+    op3_substring_dedup,
+    op4_token_counts,
+    op5_benchmark_decontamination,
+    op6_token_id_output,
+    op7_quality_rules,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_token_counts, op5_benchmark_decontamination, op6_token_id_output)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": rules.ORACLE_SQL}
