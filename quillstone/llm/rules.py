@@ -31,7 +31,7 @@ RULES = (
     Rule("few_words", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     Rule("shouting", "n_upper > n_lower"),
 )
@@ -148,7 +148,7 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word
              length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS n_lower
       FROM w LEFT JOIN r USING (rid)),
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
-             + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+             + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
              + (CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 16 ELSE 0 END)
              + (CASE WHEN n_upper > n_lower THEN 32 ELSE 0 END) AS fail_bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
