@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontam, rules, simhash, substring, token_store
+from . import bpe_count, decontam, piece_codec, rules, simhash, substring, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OPERATORS = (
     op1_simhash_near_dedup,
     op3_substring_dedup,
@@ -47,6 +59,9 @@ OPERATORS = (
     op5_benchmark_decontamination,
     op6_token_id_output,
     op7_quality_rules,
+    op8_warc,
+    op9_sentencepiece_codec,
+    op10_toxicity,
 )
 
 
