@@ -35,9 +35,9 @@ from .common import Workspace, as_bytes, make_dirs, open_fs, small_batches
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1
 END_ID = 2
 FRAME_IDS = 1 << 24
-LEVEL = 3
-#: Bytes of text aimed at in a shard, and chunks of text whose ids a worker keeps (emptied when full).
-SHARD_BYTES, CACHE_MOST = 64 << 20, 500_000
+LEVEL = 1
+#: Bytes of text aimed at in a shard, and the chunks and cores whose ids a worker keeps (each emptied when full).
+SHARD_BYTES, CACHE_MOST, CORES_MOST = 64 << 20, 300_000, 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -70,7 +70,7 @@ class ChunkEncoder:
         """Have the ids of all ``wanted`` chunks in the table."""
         if len(self.chunks) + len(wanted) > CACHE_MOST:
             self.chunks = {}
-        if len(self.cores) > CACHE_MOST:
+        if len(self.cores) > CORES_MOST:
             self.cores = {}
         parts = {c: m.groups() if (m := _CORE(c)) else (c, b"") for c in wanted.difference(self.chunks)}
         self._ask([*{x for p in parts.values() for x in p}.difference(self.cores)])
