@@ -15,7 +15,6 @@ twice leaves a file that nothing lists.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -37,7 +36,7 @@ END_ID = 2
 FRAME_IDS = 1 << 24
 LEVEL = 1
 #: Bytes of text aimed at in a shard, and the chunks and cores whose ids a worker keeps (each emptied when full).
-SHARD_BYTES, CACHE_MOST, CORES_MOST = 64 << 20, 300_000, 1_200_000
+SHARD_BYTES, CACHE_MOST, CORES_MOST = 64 << 20, 600_000, 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -72,7 +71,7 @@ class ChunkEncoder:
             self.chunks = {}
         if len(self.cores) > CORES_MOST:
             self.cores = {}
-        parts = {c: m.groups() if (m := _CORE(c)) else (c, b"") for c in wanted.difference(self.chunks)}
+        parts = {c: split_core(c) for c in wanted.difference(self.chunks)}
         self._ask([*{x for p in parts.values() for x in p}.difference(self.cores)])
         cores = self.cores
         self.chunks.update((c, cores[p[0]] + cores[p[1]]) for c, p in parts.items())
@@ -87,8 +86,16 @@ class ChunkEncoder:
                 yield b"".join(map(get, chunks))
 
 
-#: A chunk that ends in ASCII punctuation other than the apostrophe, after a letter or digit; special strings are left whole.
-_CORE = re.compile(rb"((?:(?!<\|)[^\t-\r ])*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: ASCII punctuation but for the apostrophe.
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def split_core(chunk: bytes) -> tuple[bytes, bytes]:
+    """Core and the ASCII punctuation after it, where the core ends in a letter or digit of ASCII; special strings are left whole."""
+    core = chunk.rstrip(_PUNCTUATION)
+    if core[-1:].isalnum() and b"<|" not in chunk:
+        return core, chunk[len(core) :]
+    return chunk, b""
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
