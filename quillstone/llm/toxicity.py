@@ -27,19 +27,42 @@ from .decontam import words_of
 HELD_OUT = 2
 PREDICT_AT, SPAN_AT = 0.3, 0.5
 #: Bounds of the sample: labelled toxic and other training documents, bytes of one document that are learned from.
-TOXIC_MOST, OTHER_MOST, DOC_BYTES = 1500, 4500, 1 << 16
+TOXIC_MOST, OTHER_MOST, DOC_BYTES = 1500, 4500, 1 << 14
 #: A word marks toxicity if it is in MARK_DOCS of the sampled toxic documents or more and MARK_RATIO times likelier there.
 MARK_DOCS, MARK_RATIO = 5, 25.0
-WINDOW, WINDOWS_MOST, STEPS = 12, 4000, 80
+#: Beginnings of words, in bytes, that are features beside the words; they carry over to words that training never saw.
+PREFIXES = (5, 6, 7, 8)
+WINDOW, WINDOWS_MOST, STEPS, CACHE_MOST = 12, 4000, 80, 400_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
+def beginnings(word: bytes) -> list[bytes]:
+    return [word[:k] for k in PREFIXES if len(word) > k]
+
+
+class _Own(dict):
+    """Word -> its own weight, worked out once a worker and word."""
+
+    def __init__(self, field: Field):
+        self.field = field
+
+    def __missing__(self, word: bytes) -> float:
+        f = self.field
+        w = float(f.own[f.vocab.get(word, 0)] + sum(f.begin[f.prefixes.get(b, 0)] for b in beginnings(word)))
+        if len(self) >= CACHE_MOST:
+            self.clear()
+        self[word] = w
+        return w
+
+
 @dataclass
 class Field:
-    """Weights of the toxic state against the other: by word, by word before and after, transitions, and the score's fit."""
+    """Weights of the toxic state against the other: by word and its beginnings, by word before and after, transitions, and the score's fit."""
 
     vocab: dict[bytes, int]
+    prefixes: dict[bytes, int]
     own: np.ndarray
+    begin: np.ndarray
     before: np.ndarray
     after: np.ndarray
     move: np.ndarray  # 2 x 2 log potentials
@@ -47,9 +70,15 @@ class Field:
     bias: float
     fit: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_own"}
+
     def emissions(self, words: list[bytes]) -> np.ndarray:
+        own = self.__dict__.get("_own")
+        if own is None:
+            own = self._own = _Own(self)
         ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.int32, len(words))
-        e = self.own[ids] + self.bias
+        e = np.fromiter(map(own.__getitem__, words), np.float64, len(words)) + self.bias
         if len(ids) > 1:
             e[1:] += self.before[ids[:-1]]
             e[:-1] += self.after[ids[1:]]
@@ -127,10 +156,16 @@ def learn(sample: list[tuple[bytes | None, int]]) -> Field:
     pairs = [pairs[i] for i in _distinct([w for w, _ in pairs])]
     n = Counter(y for _, y in pairs)
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    starts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for w, y in pairs:
-        df[y].update(set(w))
+        seen = set(w)
+        df[y].update(seen)
+        starts[y].update({b for x in seen for b in beginnings(x)})
     rate = (n[1] or 1) / max(n[0], 1)
-    marks = {w for w, c in df[1].items() if c >= MARK_DOCS and c >= MARK_RATIO * rate * (df[0][w] + 0.5)}
+    least = max(MARK_DOCS, n[1] // 100)
+    telling = lambda found: {w for w, c in found[1].items() if c >= least and c >= MARK_RATIO * rate * (found[0][w] + 0.5)}
+    words_, begun = telling(df), telling(starts)
+    marks = words_ | {w for w in df[1] if any(b in begun for b in beginnings(w))}
     windows: list[tuple[list[bytes], np.ndarray]] = []
     for w, y in pairs:
         hits = [i for i, x in enumerate(w) if x in marks] if y else []
@@ -146,9 +181,11 @@ def learn(sample: list[tuple[bytes | None, int]]) -> Field:
             windows.append((part, np.zeros(len(part))))
     windows = windows[:: max(1, -(-len(windows) // WINDOWS_MOST))]
     counts = Counter(x for p, _ in windows for x in p)
-    vocab = {x: i + 1 for i, x in enumerate(sorted(x for x, c in counts.items() if c >= 3 or x in marks))}
+    begins = Counter(b for x in counts for b in beginnings(x))
+    vocab = {x: i + 1 for i, x in enumerate(sorted(x for x, c in counts.items() if c >= 3 or x in words_))}
+    prefixes = {x: i + 1 for i, x in enumerate(sorted(x for x, c in begins.items() if c >= 3 or x in begun))}
     size = len(vocab) + 1
-    field = Field(vocab, np.zeros(size), np.zeros(size), np.zeros(size), np.zeros((2, 2)), 0.0, 0.0, np.zeros(4))
+    field = Field(vocab, prefixes, np.zeros(size), np.zeros(len(prefixes) + 1), np.zeros(size), np.zeros(size), np.zeros((2, 2)), 0.0, 0.0, np.zeros(4))
     if windows and marks:
         _fit(field, windows)
     chains = marginals(field, [field.emissions(w) for w, _ in pairs])
@@ -168,9 +205,14 @@ def _fit(field: Field, windows: list[tuple[list[bytes], np.ndarray]], rate: floa
     x, y, here = np.zeros((n, width), np.int32), np.zeros((n, width)), np.zeros((n, width))
     for k, (i, (_, lab)) in enumerate(zip(ids, windows, strict=True)):
         x[k, : len(i)], y[k, : len(i)], here[k, : len(i)] = i, lab, 1
+    z = np.zeros((n, width, len(PREFIXES)), np.int32)
+    for k, (w, _) in enumerate(windows):
+        for t, word in enumerate(w):
+            for j, b in enumerate(beginnings(word)):
+                z[k, t, j] = field.prefixes.get(b, 0)
     both = here[:, 1:] * here[:, :-1]
-    size = len(field.own)
-    theta = np.zeros(3 * size + 6)
+    size, begins = len(field.own), len(field.begin)
+    theta = np.zeros(3 * size + 6 + begins)
     mom, var = np.zeros_like(theta), np.zeros_like(theta)
     seen = np.zeros((2, 2))
     for a in (0, 1):
@@ -178,8 +220,8 @@ def _fit(field: Field, windows: list[tuple[list[bytes], np.ndarray]], rate: floa
             seen[a, b] = ((y[:, :-1] == a) * (y[:, 1:] == b) * both).sum()
     for step in range(1, STEPS + 1):
         own, bef, aft = theta[:size], theta[size : 2 * size], theta[2 * size : 3 * size]
-        move, start, bias = theta[3 * size : 3 * size + 4].reshape(2, 2), theta[-2], theta[-1]
-        e = own[x] + bias
+        move, start, bias = theta[3 * size : 3 * size + 4].reshape(2, 2), theta[3 * size + 4], theta[3 * size + 5]
+        e = own[x] + theta[3 * size + 6 :][z].sum(2) + bias
         e[:, 1:] += bef[x[:, :-1]] * both
         e[:, :-1] += aft[x[:, 1:]] * both
         f, g = np.zeros_like(e), np.zeros_like(e)
@@ -202,13 +244,15 @@ def _fit(field: Field, windows: list[tuple[list[bytes], np.ndarray]], rate: floa
             np.bincount(x[:, 1:].ravel(), (miss[:, :-1] * both).ravel(), size),
             (seen - pair).ravel(),
             [miss[:, 0].sum(), miss.sum()],
+            np.bincount(z.ravel(), np.repeat(miss.ravel(), len(PREFIXES)), begins),
         ])
-        grad[[0, size, 2 * size]] = 0.0  # words outside the vocabulary say nothing
+        grad[[0, size, 2 * size, 3 * size + 6]] = 0.0  # words outside the vocabulary say nothing
         grad = grad / n - ridge * theta / 10
         mom, var = 0.9 * mom + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         theta = theta + rate * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
     field.own, field.before, field.after = theta[:size].copy(), theta[size : 2 * size].copy(), theta[2 * size : 3 * size].copy()
-    field.move, field.start, field.bias = theta[3 * size : 3 * size + 4].reshape(2, 2).copy(), float(theta[-2]), float(theta[-1])
+    field.move, field.start, field.bias = theta[3 * size : 3 * size + 4].reshape(2, 2).copy(), float(theta[3 * size + 4]), float(theta[3 * size + 5])
+    field.begin = theta[3 * size + 6 :].copy()
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes | None, int]]:

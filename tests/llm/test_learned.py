@@ -68,7 +68,7 @@ def plain_marginals(field, e):
 
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(3)
-    field = toxicity.Field({}, np.zeros(1), np.zeros(1), np.zeros(1), rng.normal(0, 1, (2, 2)), 0.4, 0.0, np.zeros(4))
+    field = toxicity.Field({}, {}, np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(1), rng.normal(0, 1, (2, 2)), 0.4, 0.0, np.zeros(4))
     chains = [rng.normal(0, 2, n) for n in (4, 1, 0, 9, 4)]
     for got, e in zip(toxicity.marginals(field, chains), chains, strict=True):
         assert got == pytest.approx(plain_marginals(field, e) if len(e) else [])
