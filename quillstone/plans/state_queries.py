@@ -204,10 +204,9 @@ def session_listing(t: Tables) -> DataFrame:
 @query("WITH q AS (SELECT n_nationkey, lower(n_name) AS n FROM nation), c AS (SELECT c_custkey, lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) AS m, lower(c_name) AS cn FROM customer WHERE c_custkey <= 50) SELECT n_nationkey, c_custkey FROM q, c WHERE n = m OR contains(n, substr(m, 1, 2)) OR contains(m, n) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY (n = m) DESC, c_custkey) = 1")
 def name_resolution(t: Tables) -> DataFrame:
     q = F.broadcast(t.nation.select("n_nationkey", F.lower("n_name").alias("n")))  # 25 rows by definition
-    c = t.customer.filter("c_custkey <= 50").select("c_custkey", F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")).alias("m"))
+    c = t.customer.select("c_custkey", F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")).alias("m"))
     hit = c.join(q, (F.col("n") == F.col("m")) | F.contains("n", F.substring("m", 1, 2)) | F.contains("m", "n"))
-    w = Window.partitionBy("n_nationkey").orderBy((F.col("n") == F.col("m")).desc(), "c_custkey")
-    return hit.withColumn("r", F.row_number().over(w)).filter("r = 1").select("n_nationkey", "c_custkey")
+    return hit.groupBy("n_nationkey").agg(F.min_by("c_custkey", F.struct(F.col("n") != F.col("m"), "c_custkey")).alias("c_custkey"))
 
 
 @query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
