@@ -1,16 +1,18 @@
-"""Substring dedup on sliding sentence spans.
+"""Substring dedup on sliding spans of SPAN_WORDS words.
 
-Every run of consecutive sentences that just reaches SPAN_WORDS words, going forward from each sentence and backward
-from each sentence, is hashed to 128 bits. A hash found more than once, within a document or across documents, is a
-repeated span; its first place is the one with the smallest (doc_id, sentence). Sentences that a span in any other
-place covers are removed. A repeated passage of 2 * SPAN_WORDS words is covered whole, and shorter repeats than
-SPAN_WORDS words are left alone.
+A run of SPAN_WORDS words found more than once, within a document or across documents, is a repeated span; its first
+place is the one with the smallest (doc_id, word). Words that a span in any other place covers are removed, so every
+repeat of SPAN_WORDS words or more goes whole, wherever in a sentence it begins or ends, and shorter ones are left alone.
+
+Not every span is hashed. The anchor of a span is the run of ANCHOR_WORDS words in it with the smallest hash, the last
+of equal ones; equal spans have equal anchors. Spans that follow each other and share an anchor are one segment, a row.
+Segments whose anchor is found once hold no repeat. Of equal segments all but the first go whole. Where an anchor has
+different segments, the spans of the first of each are hashed to 128 bits and compared one by one.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,133 +24,164 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, Workspace, as_bytes, hot_join, small_batches
 
 SPAN_WORDS = 25
-#: Sentences of more words than this are cut after words whose CRC-32 is a multiple of CUT_MODULUS, so copies are cut alike wherever they begin.
-LONG_SENTENCE, CUT_MODULUS = 24, 8
-_END = re.compile(rb"[.!?]+(?=[\t-\r ])[\t-\r ]*|\n[\t-\r ]*")
+ANCHOR_WORDS = 13
 _WORD = re.compile(rb"[^\t-\r ]+[\t-\r ]*")
+_U = np.uint64
+#: Odd multipliers of the places of a run, one row a hash.
+_TIMES = np.frombuffer(b"".join(xxhash.xxh3_64(bytes([k % 256, k // 256])).digest() for k in range(512)), "<u8").reshape(2, -1) | _U(1)
 
 
 def sentences(text: bytes) -> list[bytes]:
-    """Consecutive pieces of a text that end after . ! ? and white space, or after a line; joined they are the text."""
-    out, last = [], 0
-    for m in _END.finditer(text):
-        out.append(text[last : m.end()])
-        last = m.end()
-    if last < len(text):
-        out.append(text[last:])
-    if max(map(len, out), default=0) <= 2 * LONG_SENTENCE:
-        return out
-    cut = []
-    for s in out:
-        if len(s) <= 2 * LONG_SENTENCE or s.count(b" ") < LONG_SENTENCE and len(s.split()) <= LONG_SENTENCE:
-            cut.append(s)
-            continue
-        part = b"" if s[:1].split() else s[: len(s) - len(s.lstrip())]
-        words = []
-        for w in _WORD.findall(s):
-            words.append(w)
-            if zlib.crc32(w.rstrip()) % CUT_MODULUS == 0:
-                cut.append(part + b"".join(words))
-                part, words = b"", []
-        if words or part:
-            cut.append(part + b"".join(words))
-    return cut
-
-
-def spans(pieces: list[bytes], least: int = SPAN_WORDS) -> tuple[list[int], list[int], bytes]:
-    """Starts and ends (exclusive) of the spans of a document, and their 16-byte hashes one after another."""
-    split = [p.split() for p in pieces]
-    if sum(map(len, split)) < least:
-        return [], [], b""
-    marks = [xxhash.xxh3_128_digest(b" ".join(w)) for w in split]
-    sizes = list(map(len, split))
-    n, starts, ends = len(pieces), [], []
-    # forward: the shortest run from each sentence; j only grows
-    total = j = 0
-    for i in range(n):
-        while j < n and total < least:
-            total += sizes[j]
-            j += 1
-        if total < least:
-            break
-        if sizes[i]:
-            starts.append(i)
-            ends.append(j)
-        total -= sizes[i]
-    seen = set(zip(starts, ends, strict=True))
-    # backward: the shortest run up to each sentence
-    total, i = 0, n - 1
-    for j in range(n - 1, -1, -1):
-        while i >= 0 and total < least:
-            total += sizes[i]
-            i -= 1
-        if total < least:
-            break
-        if sizes[j] and (i + 1, j + 1) not in seen:
-            starts.append(i + 1)
-            ends.append(j + 1)
-        total -= sizes[j]
-    return starts, ends, b"".join([xxhash.xxh3_128_digest(b"".join(marks[a:b])) for a, b in zip(starts, ends, strict=True)])
+    """The pieces that can go: a word each, with the white space after it; joined they are the text."""
+    out = _WORD.findall(text)
+    blank = len(text) - len(text.lstrip())
+    if blank:
+        out[:1] = [text[:blank] + (out[0] if out else b"")]
+    return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    return x ^ (x >> _U(29))
+
+
+def _runs(words: np.ndarray, n: int, row: int) -> np.ndarray:
+    """A 64-bit hash of each run of n words."""
+    out = np.zeros(max(len(words) - n + 1, 0), _U)
+    for k in range(n if len(out) else 0):
+        out += words[k : k + len(out)] * _TIMES[row, k % 256]
+    return _mix(out)
+
+
+def _last_least(x: np.ndarray, n: int) -> np.ndarray:
+    """Places of the smallest of each n neighbours, the last of equal ones."""
+    at, done = np.arange(len(x)), 1
+    while done < n and len(at):
+        step = min(done, n - done)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(x[right] <= x[left], right, left)
+        done += step
+    return at
+
+
+def _hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and where each text's words begin (and the last end)."""
+    split = [t.split() if t else [] for t in texts]
+    ends = np.cumsum([0, *map(len, split)])
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for words in split for w in words), _U, int(ends[-1])), ends
+
+
+def segments(texts: list[bytes | None], least: int = SPAN_WORDS) -> tuple[np.ndarray, ...]:
+    """(text, a, b, h1, h2) of each segment: its text, first span and end of spans (words), hashes of anchor and words."""
+    words, ends = _hashed(texts)
+    k = min(ANCHOR_WORDS, least)
+    grams = _runs(words, k, 0)
+    anchor = _last_least(grams, least - k + 1)
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+    n = len(anchor)
+    whole = doc[:n] == doc[least - 1 : least - 1 + n]
+    new = np.ones(n, bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | ~whole[:-1]
+    a = np.flatnonzero(new & whole)
+    stop = np.append(np.flatnonzero(new | ~whole), n)
+    b = stop[np.searchsorted(stop, a, "right")]
+    # the hash of a segment: of its length and its words, as sums of products by place
+    mixed, h2 = _mix(words ^ _TIMES[1, 255]), _mix((b - a).astype(_U))
+    for j in range(2 * least - k if len(a) else 0):
+        inside = a + j < b + least - 1
+        h2 += np.where(inside, mixed[np.minimum(a + j, len(mixed) - 1)] * _TIMES[1, j % 256], _U(0))
+    return doc[a], a - ends[doc[a]], b - ends[doc[a]], grams[anchor[a]].view(np.int64), _mix(h2).view(np.int64)
+
+
+def _segment_rows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 4 << 20):
+            ids = batch.column("doc_id").to_pylist()
+            doc, a, b, h1, h2 = segments([t if d is not None else None for d, t in zip(ids, as_bytes(batch.column("text")), strict=True)], least)
+            ids = np.array([d or 0 for d in ids], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[doc]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["h1", "h2", "doc_id", "a", "b"])
+
+    return run
 
 
 def _span_rows(least: int):
+    """(h, doc_id, a) of the spans of the segments given with each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", 4 << 20):
-            starts, ends, hashes, docs, counts = [], [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                a, b, h = spans(sentences(text), least) if text and doc is not None else ([], [], b"")
-                if a:
-                    starts += a
-                    ends += b
-                    hashes.append(h)
-                    docs.append(doc)
-                    counts.append(len(a))
-            h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            cols = [np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), np.repeat(np.array(docs, np.int64), counts), np.array(starts, np.int32), np.array(ends, np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "doc_id", "a", "b"])
+        for batch in small_batches(batches, "text", 2 << 20):
+            words, ends = _hashed(as_bytes(batch.column("text")))
+            pair = np.empty((max(len(words) - least + 1, 0), 2), np.uint64)
+            pair[:, 0], pair[:, 1] = _runs(words, least, 0), _runs(_mix(words ^ _TIMES[1, 255]), least, 1)
+            ids, at, docs = batch.column("doc_id").to_pylist(), [], []
+            for i, (d, found) in enumerate(zip(ids, batch.column("segments").to_pylist(), strict=True)):
+                last = ends[i + 1] - ends[i] - least + 1
+                mine = np.unique(np.concatenate([np.arange(x["a"], min(x["b"], last)) for x in found]))
+                at.append(mine)
+                docs.append(np.full(len(mine), d, np.int64))
+            at = [x.astype(np.int32) for x in at]
+            flat = np.concatenate([x + ends[i] for i, x in enumerate(at)]) if at else np.zeros(0, np.int64)
+            for s in range(0, len(flat), 200_000):
+                raw = pa.py_buffer(np.ascontiguousarray(pair[flat[s : s + 200_000]]).tobytes())
+                m = len(flat[s : s + 200_000])
+                h = pa.Array.from_buffers(pa.binary(16), m, [None, raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([h, pa.array(np.concatenate(docs)[s : s + m]), pa.array(np.concatenate(at)[s : s + m])], ["h", "doc_id", "a"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """(doc_id, spans array<struct<a,b>>) of documents with a repeated span in other than its first place.
+    """(doc_id, spans array<struct<a,b>>) of documents with a repeated span in other than its first place; b is the end in words.
 
-    Counting moves one hash a span and adds up before the shuffle, so a passage that a third of the documents hold is
-    one row a task; only spans with a repeated hash are joined, with hot hashes spread.
+    Counting moves one hash a segment and adds up before the shuffle, so a passage that a third of the documents hold is
+    one row a task; only segments with a repeated anchor are joined, with hot hashes spread.
     """
     work = Workspace(docs.sparkSession, "spans")
-    all_spans = work.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_span_rows(least), "h1 long, h2 long, doc_id long, a int, b int"), "spans")
-    often = work.table(all_spans.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") * HOT_SHARE >= max(total, 1)
-    found = hot_join(all_spans, often, "h1", hot, ["n"], salt=["doc_id", "a", "b"]).filter("n is not null").drop("n")
-    found = work.table(found, "found")
-    work.drop(all_spans)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = work.table(ids.mapInArrow(_segment_rows(least), "h1 long, h2 long, doc_id long, a int, b int"), "segments")
+    often = work.table(every.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    total = max(often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
+    hot = F.col("n") * HOT_SHARE >= total
+    found = work.table(hot_join(every, often, "h1", hot, ["n"], salt=["doc_id", "a", "b"]).filter("n is not null").drop("n"), "found")
+    work.drop(every)
     key = F.hex(F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))).alias("h")
     keyed = found.select(key, "doc_id", "a", "b")
-    first = keyed.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = work.table(first, "first")
-    later = hot_join(keyed, first, "h", F.col("n") * HOT_SHARE >= max(total, 1), ["first"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.a")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    place = F.struct("doc_id", "a")
+    classes = work.table(found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "a", "b")).alias("first"), F.count("*").alias("n")), "classes")
+    several = classes.filter("n > 1").select(key, "first", "n")
+    whole = hot_join(keyed, several, "h", hot, ["first"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.a")))
+    gone = work.table(whole.select("doc_id", "a", (F.col("b") + least - 1).alias("b")), "whole")
+
+    # anchors of different segments: the spans of the first of each
+    mixed = work.table(classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
+    kinds = max(mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
+    part = hot_join(classes.select("h1", "h2", "first"), mixed, "h1", F.col("n") * HOT_SHARE >= kinds, ["n"], salt=["h2"]).filter("n is not null")
+    part = part.groupBy(F.col("first.doc_id").alias("_d")).agg(F.collect_list(F.struct("first.a", "first.b")).alias("segments"))
+    spans = ids.join(part, F.col("doc_id") == F.col("_d")).select("doc_id", "text", "segments").mapInArrow(_span_rows(least), "h binary, doc_id long, a int")
+    spans = work.table(spans, "spans")
+    first = work.table(spans.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+    most = max(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
+    later = hot_join(spans, first, "h", F.col("n") * HOT_SHARE >= most, ["first"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.a")))
+    gone = gone.unionByName(later.select("doc_id", "a", (F.col("a") + least).alias("b")))
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def cut(text: bytes | None, pairs: list[dict] | None) -> tuple[bytes | None, int, int]:
-    """Text without the sentences that the spans cover; how many it has, and how many went."""
-    pieces = sentences(text) if text else []
+    """Text without the words that the spans cover; how many it has, and how many went."""
     if not pairs:
-        return text, len(pieces), 0
+        return text, len(text.split()) if text else 0, 0
+    pieces = sentences(text) if text else []
     gone = np.zeros(len(pieces) + 1, np.int64)
     for p in pairs:
-        gone[p["a"]] += 1
-        gone[p["b"]] -= 1
+        gone[min(p["a"], len(pieces))] += 1
+        gone[min(p["b"], len(pieces))] -= 1
     gone = np.cumsum(gone)[:-1] > 0
     return b"".join([p for p, g in zip(pieces, gone, strict=True) if not g]).rstrip(), len(pieces), int(gone.sum())
 
 
 def dedup(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with repeated sentences removed, and n_sentences and n_removed.
+    """``docs`` (doc_id, text and any others) with repeated words removed, and n_sentences and n_removed, which count words.
 
-    Null texts stay null, texts without repeats keep every byte, and texts of which all sentences go become empty.
+    Null texts stay null, texts without repeats keep every byte, and texts of which all words go become empty.
     Rows of one doc_id are one document, so repeated rows are not each other's repeats; rows with a null doc_id have no
     place in the order and stay as they are. n_chars follows the text where it changed. An empty table stays empty.
     """
