@@ -119,7 +119,7 @@ def dense_topk(t: Tables) -> DataFrame:
     SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM e QUALIFY rank <= 2"""
 )
 def entity_rerank(t: Tables) -> DataFrame:
-    hits = search.bm25(t.documents, t.benchmark, "item_id", 5).drop("rank").join(t.documents.select("doc_id", "text"), "doc_id")
+    hits = search.bm25(t.documents, t.benchmark, "item_id", 4 * 2).drop("rank").join(t.documents.select("doc_id", "text"), "doc_id")
     overlap = F.size(F.array_intersect(F.array(*map(F.lit, ("the", "que", "der"))), T.tokens("text")))
     return search.top(hits.select("query_id", "doc_id", F.round(F.log(F.exp("score") * (1 + 0.6 * overlap)), 6).alias("score")), 2)
 
