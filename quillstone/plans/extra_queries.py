@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,64 @@ def semantic_links(vectors: DataFrame, at_least: float, block: int = 2048) -> Da
     return counted.groupBy("vec_id").agg(F.sum("n").alias("n_links"), F.min("f").alias("first_link"))
 
 
+def semantic_pairs(vectors: DataFrame, at_least: float, block: int = 2048) -> DataFrame:
+    """(x, y), x < y: the pairs of vectors (vec_id unique) with a cosine of ``at_least``; cut into blocks as semantic_links."""
+    k = max(1, -(-vectors.count() // block))
+    mine = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int").alias("p"))
+    dealt = mine.select("vec_id", "embedding", "p", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("q"))
+    dealt = dealt.select("vec_id", "embedding", "p", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, side = table.column("vec_id").to_numpy(), table.column("p").to_numpy()
+        x = np.array(table.column("embedding").to_pylist(), np.float32)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        left, right = np.flatnonzero(side == key[0].as_py()), np.flatnonzero(side == key[1].as_py())
+        i, j = np.nonzero(x[left] @ x[right].T >= at_least) if len(left) and len(right) else (left[:0], right[:0])
+        i, j = ids[left[i]], ids[right[j]]
+        once = i < j if key[0] == key[1] else i != j
+        return pa.table({"x": np.minimum(i, j)[once], "y": np.maximum(i, j)[once]})
+
+    return dealt.groupBy("a", "b").applyInArrow(run, "x long, y long")
+
+
+def semantic_greedy(vectors: DataFrame, at_least: float, table: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(vec_id, class_id, kept, n_links): greedy suppression by vec_id, and how many others have a cosine of ``at_least``.
+
+    A row that is kept suppresses the later ones near it; a suppressed row suppresses none. Equal vectors are a class,
+    named by its smallest vec_id, and only those are compared: the others of a class are near it and never kept. The
+    order is resolved in rounds, each written by ``table``: a row is suppressed by a kept neighbour before it, and kept
+    once no neighbour before it is undecided.
+    """
+    zero = ~F.exists("embedding", lambda v: v != 0)  # near nothing, so each is a class of its own
+    key = F.sha2(F.concat_ws(":", F.array_join(F.transform("embedding", lambda v: (v + 0.0).cast("string")), ","), F.when(zero, F.col("vec_id"))), 256)
+    rows = table(vectors.filter("vec_id is not null and embedding is not null").select("vec_id", "embedding", key.alias("key")))
+    classes = table(rows.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.min_by("embedding", "vec_id").alias("embedding"), F.count("*").alias("n")))
+    pairs = table(semantic_pairs(classes.select(F.col("class_id").alias("vec_id"), "embedding"), at_least))
+    size = classes.select(F.col("class_id").alias("to"), "n")
+    both = pairs.select(F.col("x").alias("class_id"), F.col("y").alias("to")).union(pairs.select("y", "x"))
+    links = both.join(size, "to").groupBy("class_id").agg(F.sum("n").alias("near"))
+
+    left, kept = pairs, None  # pairs of which neither row is decided; the kept ones among rows with pairs
+    while not left.isEmpty():
+        later = left.select(F.col("y").alias("v")).distinct()
+        keep = table(left.select(F.col("x").alias("v")).distinct().join(later, "v", "left_anti"))
+        kept = keep if kept is None else kept.union(keep)
+        gone = left.join(keep, F.col("x") == F.col("v")).select(F.col("y").alias("v")).distinct()
+        done = table(keep.union(gone))
+        rest = left.join(done, F.col("x") == F.col("v"), "left_anti").join(done, F.col("y") == F.col("v"), "left_anti")
+        # rows whose pairs are all gone and that nothing suppressed are kept
+        open_ = left.select(F.explode(F.array("x", "y")).alias("v")).distinct().join(done, "v", "left_anti")
+        rest = table(rest)
+        kept = kept.union(table(open_.join(rest.select(F.explode(F.array("x", "y")).alias("v")).distinct(), "v", "left_anti")))
+        left = rest
+    paired = pairs.select(F.explode(F.array("x", "y")).alias("class_id")).distinct()
+    never = paired if kept is None else paired.join(kept.select(F.col("v").alias("class_id")), "class_id", "left_anti")
+    named = classes.join(links, "class_id", "left").join(never.withColumn("gone", F.lit(True)), "class_id", "left")
+    others = F.coalesce("near", F.lit(0)) + F.col("n") - 1
+    named = named.select("key", "class_id", F.col("gone").isNull().alias("first"), others.cast("long").alias("n_links"))
+    return rows.select("vec_id", "key").join(named, "key").select("vec_id", "class_id", (F.col("first") & (F.col("vec_id") == F.col("class_id"))).alias("kept"), "n_links")
+
+
 _UNIT = "WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding)))::DOUBLE[] AS e FROM embeddings) "
 
 
@@ -118,6 +177,19 @@ def semantic_near_dups(t: Tables) -> DataFrame:
     return semantic_links(t.embeddings.select("vec_id", "embedding"), 0.92)
 
 
+@query()
+def semantic_dedup(t: Tables) -> DataFrame:
+    """Vectors kept by greedy suppression at a cosine of 0.92; semantic_near_dups has the links alone."""
+    root, steps = checkpoint_dir(t.spark, "semantic"), count()
+
+    def table(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(steps)}"
+        df.write.parquet(path)
+        return t.spark.read.schema(df.schema).parquet(path)
+
+    return semantic_greedy(t.embeddings.select("vec_id", "embedding"), 0.92, table)
+
+
 @query()
 def fuzzy_lexicon(t: Tables) -> DataFrame:
     """Part names canonicalised against a small word list by sequence similarity of 0.82 or more."""
