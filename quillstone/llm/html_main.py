@@ -1,9 +1,10 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page becomes its sequence of text blocks. Each block is a vector: hashed tokens of its tag path (tag names, words of
-class and id), hashed words of its text, and a few shapes (length, share of links, punctuation). A bidirectional LSTM in
-numpy reads the sequence and labels every block as main text or not with the whole page as its context. The weights are
-fitted here, at first use in a process, on pages that :func:`sample_page` lays out in many styles; the seed is fixed.
+A page becomes its sequence of text blocks. Each block is a vector: hashed tokens of its tag path (tag names and words of
+class, id and role of the innermost elements, the nearer the heavier, and which elements are open around it), hashed
+words of its text, and a few shapes (length, share of links, punctuation, how much of the page has the same path). A bidirectional LSTM in numpy reads the
+sequence and labels every block as main text or not with the whole page as its context. The weights are fitted here, at
+first use in a process, on pages that :mod:`.html_samples` lays out in many styles; the seed is fixed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -21,293 +21,156 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-
-PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 128, 32, 8, 16
-DIM = PATH_DIM + WORD_DIM + SHAPES
-TRAIN_PAGES, EPOCHS, SEED = 900, 12, 11
-BLOCK = frozenset(
-    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
-)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("script style template noscript svg math iframe object canvas audio video textarea".split())
-_NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
-
-
-class Blocks(HTMLParser):
-    """Collects (path tokens, text, characters in links) of each block; comments, scripts, styles and markup leave no text."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.found: list[tuple[tuple[str, ...], str, int]] = []
-        self.text: list[str] = []
-        self.linked = self.in_link = self.muted = 0
-
-    def flush(self) -> None:
-        if self.text:
-            if text := " ".join("".join(self.text).split()):
-                path = tuple(dict.fromkeys(t for _, names in self.open for t in names))
-                self.found.append((path, text, min(self.linked, len(text))))
-            self.text = []
-        self.linked = 0
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK:
-            self.flush()
-            if tag not in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                if self.open and tag != "body":
-                    self._close("p", stop=True)
-            else:
-                self._close(tag, stop=True)
-        elif tag in ("br", "wbr"):
-            self.text.append(" " if tag == "br" else "")
-        if tag in VOID:
-            return
-        names = [tag]
-        for key, value in attrs:
-            if key in ("class", "id", "role") and value:
-                names += [f"{key[0]}:{w.lower()}" for w in _NAME.findall(value)]
-        self.open.append((tag, tuple(names)))
-        self.in_link += tag == "a"
-        self.muted += tag in HIDDEN_TAGS
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in HIDDEN_TAGS:
-            self.handle_endtag(tag)
-
-    def _close(self, tag: str, stop: bool = False) -> None:
-        """Close the innermost ``tag`` and all in it; with ``stop``, only if no container is between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for name, _ in self.open[i:]:
-                    self.in_link -= name == "a"
-                    self.muted -= name in HIDDEN_TAGS
-                del self.open[i:]
-                return
-            if stop and self.open[i][0] in BLOCK:
-                return
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
-            self.flush()
-        if tag not in VOID:
-            self._close(tag)
-
-    def handle_data(self, data: str) -> None:
-        if not self.muted:
-            self.text.append(data)
-            if self.in_link:
-                self.linked += len(data.strip())
-
-
-def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """Blocks of a page in page order; none for null or empty html."""
-    if not html:
-        return []
-    p = Blocks()
-    p.feed(html)
-    p.close()
-    p.flush()
-    return p.found
-
-
-_PATH_AT: dict[str, int] = {}
+from .html_blocks import AROUND, Block, blocks
+from .html_samples import sample_page
+
+PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 384, 96, 10, 20
+REST = len(AROUND) + WORD_DIM + SHAPES
+DIM = PATH_DIM + REST
+TRAIN_PAGES, EPOCHS, LOT, SEED = 8000, 10, 24, 11
+#: An element outside of another counts this much of it in the path's vector.
+FADE = 0.8
+#: Words, names and paths whose places or vectors a process keeps (emptied when full).
+KEPT_MOST = 300_000
+_WORD = re.compile(r"\w+").findall
 _WORD_AT: dict[str, int] = {}
-
-
-def _at(table: dict[str, int], word: str, dim: int) -> int:
-    i = table.get(word)
-    if i is None:
-        if len(table) > 300_000:
-            table.clear()
-        i = table[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % dim
-    return i
-
-
-def vectors(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    x = np.zeros((len(found), DIM), np.float32)
-    n = len(found)
-    for i, (path, text, linked) in enumerate(found):
-        row = x[i]
-        for t in path:
-            row[_at(_PATH_AT, t, PATH_DIM)] += 1.0
-        words = text.lower().split()
-        at = np.fromiter((_at(_WORD_AT, w, WORD_DIM) for w in words), np.int64, len(words))
-        row[PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(np.bincount(at, minlength=WORD_DIM) / max(len(words), 1))
+_PATHS: dict[tuple, np.ndarray] = {}
+
+
+def _hash(token: str, dim: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % dim
+
+
+def _tokens(name: str) -> list[str]:
+    """A name with how it begins and ends, as names are often put together of known ones."""
+    return [name, f"^{name[2:6]}", f"{name[-4:]}$", f"{name[-3:]}$"] if name[1:2] == ":" and len(name) > 6 else [name]
+
+
+def path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
+    got = _PATHS.get(path)
+    if got is None:
+        if len(_PATHS) > KEPT_MOST // 10:
+            _PATHS.clear()
+        got = _PATHS[path] = np.zeros(PATH_DIM, np.float32)
+        for depth, names in enumerate(path):
+            for t in names:
+                for x in _tokens(t):
+                    got[_hash(x, PATH_DIM)] += FADE**depth
+        if path:  # what stands next to the text is told apart from what is around it
+            for t in path[0]:
+                got[_hash(f"0{t}", PATH_DIM)] += 1.0
+    return got
+
+
+def rest_vectors(found: list[Block]) -> np.ndarray:
+    """What is around each block, its words and shapes."""
+    n, a = len(found), len(AROUND)
+    x = np.zeros((n, REST), np.float32)
+    alike: dict[tuple, list[int]] = {}  # blocks and characters of each path of the page
+    for path, _, text, _ in found:
+        got = alike.setdefault(path, [0, 0])
+        got[0] += 1
+        got[1] += len(text)
+    total = sum(got[1] for got in alike.values())
+    for i, (path, around, text, linked) in enumerate(found):
+        words = _WORD(text.lower())
+        at = []
+        for w in words:
+            k = _WORD_AT.get(w)
+            if k is None:
+                if len(_WORD_AT) > KEPT_MOST:
+                    _WORD_AT.clear()
+                k = _WORD_AT[w] = _hash(w, WORD_DIM)
+            at.append(k)
         chars = len(text)
-        row[-SHAPES:] = (np.log1p(chars) / 6, linked / chars, np.log1p(len(words)) / 4, text.count(".") * 10 / chars, text.count("|") * 5 / chars, (i + 0.5) / n, 1.0 / (1 + i), 1.0 / (n - i))
+        x[i, :a] = around
+        x[i, a : a + WORD_DIM] = np.sqrt(np.bincount(at, minlength=WORD_DIM) / max(len(words), 1))
+        x[i, -SHAPES:] = (np.log1p(chars) / 6, linked / chars, np.log1p(len(words)) / 4, text.count(".") * 10 / chars, text.count("|") * 5 / chars, (i + 0.5) / n, 1.0 / (1 + i), 1.0 / (n - i), np.log1p(alike[path][0]) / 3, alike[path][1] / total)
     return x
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def vectors(found: list[Block]) -> np.ndarray:
+    return np.hstack([np.array([path_vector(b.path) for b in found]).reshape(len(found), PATH_DIM), rest_vectors(found)])
+
+
+def _order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the blocks of all pages, one after another) that the two directions read at each step, by (step, side, page).
+
+    A page that has ended repeats its last place; what comes of that is read nowhere.
+    """
+    starts, t = np.cumsum(sizes) - sizes, np.arange(sizes.max())[:, None]
+    ahead = starts + np.minimum(t, sizes - 1)
+    return np.stack([ahead, starts + np.maximum(sizes - 1 - t, 0)], axis=1), (t < sizes)
 
 
 class Labeller:
-    """Weights of the two directions and of the output."""
+    """Weights of the two directions, side by side, and of the output."""
 
     def __init__(self, rng: np.random.Generator):
         h = HIDDEN
-        self.w = [rng.normal(0, 1 / np.sqrt(DIM), (DIM, 4 * h)).astype(np.float32) for _ in (0, 1)]
-        self.u = [rng.normal(0, 1 / np.sqrt(h), (h, 4 * h)).astype(np.float32) for _ in (0, 1)]
-        self.b = [np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]).astype(np.float32) for _ in (0, 1)]
+        self.w = rng.normal(0, 1 / np.sqrt(60), (DIM, 8 * h)).astype(np.float32)
+        self.u = rng.normal(0, 1 / np.sqrt(h), (2, h, 4 * h)).astype(np.float32)
+        self.b = np.tile(np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]), 2).astype(np.float32)
         self.out = rng.normal(0, 0.3, 2 * h + 1).astype(np.float32)
 
     def params(self) -> list[np.ndarray]:
-        return [*self.w, *self.u, *self.b, self.out]
-
-    def run(self, x: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, list]:
-        """Logits of padded pages x (page, place, DIM) with here (page, place) 1 where there is a block; and what training needs."""
-        pages, places, _ = x.shape
-        h, sides = HIDDEN, []
-        hidden = np.zeros((pages, places, 2 * h), np.float32)
-        for side in (0, 1):
-            z_in = x.reshape(-1, DIM) @ self.w[side] + self.b[side]
-            z_in = z_in.reshape(pages, places, 4 * h)
-            s, c, tape = np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32), {}
-            for t in range(places) if side == 0 else range(places - 1, -1, -1):
-                z = z_in[:, t] + s @ self.u[side]
-                i, f, o = _sigmoid(z[:, :h]), _sigmoid(z[:, h : 2 * h]), _sigmoid(z[:, 2 * h : 3 * h])
-                g, m = np.tanh(z[:, 3 * h :]), here[:, t : t + 1]
-                c_new = f * c + i * g
-                tc = np.tanh(c_new)
-                tape[t] = (s, c, i, f, o, g, tc, m)
-                s, c = m * (o * tc), m * c_new
-                hidden[:, t, side * h : (side + 1) * h] = s
-            sides.append(tape)
-        return hidden @ self.out[:-1] + self.out[-1], [hidden, sides]
-
-    def grads(self, x: np.ndarray, here: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        logits, (hidden, sides) = self.run(x, here)
-        p, n, h = _sigmoid(logits), here.sum(), HIDDEN
-        d = ((p - y) * here / n).astype(np.float32)
-        loss = float(-(here * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum() / n)
-        g_out = np.concatenate([np.tensordot(d, hidden, ([0, 1], [0, 1])), [d.sum()]]).astype(np.float32)
-        g_w, g_u, g_b = [], [], []
-        pages, places, _ = x.shape
-        for side in (0, 1):
-            dz_all, gu = np.zeros((pages, places, 4 * h), np.float32), np.zeros((h, 4 * h), np.float32)
-            ds_next, dc_next = np.zeros((pages, h), np.float32), np.zeros((pages, h), np.float32)
-            back = d[:, :, None] * self.out[side * h : (side + 1) * h]
-            for t in range(places - 1, -1, -1) if side == 0 else range(places):
-                s, c, i, f, o, g, tc, m = sides[side][t]
-                ds = m * (back[:, t] + ds_next)
-                dc = m * dc_next + ds * o * (1 - tc * tc)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                dz_all[:, t] = dz
-                gu += s.T @ dz
-                ds_next, dc_next = dz @ self.u[side].T, dc * f
-            flat = dz_all.reshape(-1, 4 * h)
-            g_w.append(x.reshape(-1, DIM).T @ flat)
-            g_u.append(gu)
-            g_b.append(flat.sum(0))
-        return loss, [*g_w, *g_u, *g_b, g_out]
-
-
-def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    longest = max(map(len, pages))
-    x, here = np.zeros((len(pages), longest, DIM), np.float32), np.zeros((len(pages), longest), np.float32)
-    for k, p in enumerate(pages):
-        x[k, : len(p)], here[k, : len(p)] = p, 1
-    return x, here
-
-
-# What pages are made of, for training. Names that sites give to their parts, and words that stand in them.
-_MAIN = ["article", "main", "div.content", "div#content", "div.post-body", "div.entry-content", "section.story", "div.article-body", "div.article-text", "div#main", "article.post", "main.page", "div.text", "div"]
-_MENU = ["nav", "ul.menu", "div.nav", "div#navigation", "nav.breadcrumb", "ul.breadcrumbs", "div.topnav", "nav.pagination", "div.tags", "div.toc"]
-_HEAD = ["header", "div.header", "div#masthead", "div.site-header", "div.logo", "header.banner", "div.top-bar"]
-_FOOT = ["footer", "div.footer", "div#footer", "div.site-footer", "div.copyright", "p.copyright", "div.legal"]
-_SIDE = ["aside", "div.sidebar", "div#sidebar", "div.widget", "div.related", "section.recommended", "div.popular", "aside.more", "div.trending", "div.author-box"]
-_NOTE = ["div.cookie-notice", "div#cookie-banner", "div.notice", "div.alert", "div.gdpr", "div.consent", "div.popup", "div.modal", "div.overlay", "p.notice", "div.message", "div.paywall"]
-_ADVERT = ["div.ad", "div.ads", "div.advert", "div#ad", "div.advertisement", "aside.sponsored", "div.promo", "section.promotion", "div.banner", "p.ad", "ins.ad", "div.sponsor"]
-_FORM = ["form", "form.search", "div.newsletter", "form.login", "div.subscribe", "form.comment-form", "div.signup", "fieldset"]
-_TALK = ["div.comments", "section#comments", "ol.comment-list", "div.comment", "ul.comments", "div.replies", "div.responses", "div#disqus", "section.discussion", "li.comment", "div.reviews"]
-_SHARE = ["div.share", "ul.social", "div.social-links", "div.share-buttons"]
-_SAID = {
-    "menu": "home about contact news sport index next previous page".split(),
-    "foot": "copyright reserved rights privacy terms imprint © legal".split(),
-    "note": "cookies accept consent we use agree privacy settings notice".split(),
-    "form": "email password search subscribe submit name sign up send".split(),
-    "talk": "reply says posted comment ago like report user".split(),
-    "ad": "sponsored advertisement buy now offer sale free click".split(),
-}
-
-
-def sample_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
-    """A made-up page, and its blocks with 1 for main text. Texts are of the same invented words everywhere."""
-    syllables = ["".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiouéü") for _ in range(rng.choice([1, 1, 2, 2, 3]))) for _ in range(60)]
-    word = lambda: rng.choice(syllables) + (rng.choice(syllables) if rng.random() < 0.4 else "")
-    parts: list[tuple[str, int]] = []
-    html: list[str] = []
-
-    def sentence(n: int, said: str = "") -> str:
-        w = [rng.choice(_SAID[said]) if said and rng.random() < 0.3 else word() for _ in range(n)]
-        return " ".join(w).capitalize() + rng.choice([".", ".", "", "!"])
-
-    def prose(most: int = 4, said: str = "") -> str:
-        if rng.random() < 0.06:  # junk that is content all the same
-            return " ".join(rng.choice([[word()] * rng.randint(4, 60), [word().upper() + "!!" for _ in range(rng.randint(4, 40))]]))
-        return " ".join(sentence(rng.randint(2, 22), said) for _ in range(rng.randint(1, most)))
-
-    def say(text: str, label: int, inner: str = "{}") -> str:
-        parts.append((text, label))
-        return inner.format(text)
-
-    def wrap(spec: str, body: str) -> str:
-        tag, mark, name = re.fullmatch(r"(\w+)([.#]?)(.*)", spec).groups()
-        attr = f' {"class" if mark == "." else "id"}="{name}"' if mark else ""
-        return f"<{tag}{attr}>{body}</{tag}>"
-
-    def links(n: int, said: str, in_list: bool) -> str:
-        item = (lambda s: f"<li><a href='/x'>{s}</a></li>") if in_list else (lambda s: f"<div><a href='/x'>{s}</a></div>")
-        return "".join(item(say(rng.choice([word(), sentence(2, said)]), 0)) for _ in range(n))
-
-    def menu() -> str:
-        return wrap(rng.choice(_MENU), (lambda x: rng.choice([f"<ul>{x}</ul>", x]))(links(rng.randint(2, 8), "menu", rng.random() < 0.8)))
-
-    def other(names: list[str], said: str, label: int = 0) -> str:
-        spec, kind = rng.choice(names), rng.random()
-        if kind < 0.35:
-            return wrap(spec, say(prose(3, said), label))
-        if kind < 0.8:
-            return wrap(spec, "".join(say(prose(2, said), label, rng.choice(["<p>{}</p>", "<div>{}</div>", "<h3>{}</h3>"])) for _ in range(rng.randint(1, 4))))
-        return wrap(spec, links(rng.randint(1, 5), said, False))
-
-    def form() -> str:
-        return wrap(rng.choice(_FORM), "".join(say(sentence(rng.randint(1, 5), "form"), 0, rng.choice(["<label>{}</label><input>", "<p>{}</p>", "<button>{}</button>"])) for _ in range(rng.randint(1, 4))))
-
-    def inside() -> str:
-        k = rng.random()
-        if k < 0.7:
-            text = prose(5)
-            if rng.random() < 0.2:
-                return f"<p>{say(text, 1)} <br>" if rng.random() < 0.5 else f"<p><b>{say(text, 1)}<br>"
-            return say(text, 1, rng.choice(["<p>{}</p>", "<p>{}</p>", "<p><i>{}</i></p>", "<div>{}</div>", "<p><a href='/y'>{}</a></p>"]))
-        if k < 0.78:
-            return say(sentence(rng.randint(1, 8)), 1, rng.choice(["<h2>{}</h2>", "<h3>{}</h3>"]))
-        if k < 0.86:
-            tag = rng.choice(["ul", "ol"])
-            return f"<{tag}>" + "".join(say(sentence(rng.randint(1, 14)), 1, "<li>{}</li>") for _ in range(rng.randint(1, 5))) + f"</{tag}>"
-        if k < 0.9:
-            return say(prose(2), 1, rng.choice(["<blockquote>{}</blockquote>", "<pre>{}</pre>", "<figure><img><figcaption>{}</figcaption></figure>"]))
-        if k < 0.93:
-            return "<table>" + "".join("<tr>" + "".join(say(word(), 1, "<td>{}</td>") for _ in range(3)) + "</tr>" for _ in range(rng.randint(1, 4))) + "</table>"
-        return rng.choice([lambda: other(_ADVERT, "ad"), lambda: other(_SHARE, "menu"), lambda: other(_NOTE, "note"), form, lambda: other(_SIDE, "menu")])()
-
-    title = sentence(rng.randint(2, 10))
-    html.append(f"<!DOCTYPE html><html><head>{say(title, 0, '<title>{}</title>')}</head><body>")
-    before = [menu, lambda: other(_HEAD, "menu"), lambda: other(_ADVERT, "ad"), lambda: other(_NOTE, "note"), form, lambda: other(_SIDE, "menu")]
-    after = [lambda: other(_FOOT, "foot"), lambda: other(_TALK, "talk"), lambda: other(_SIDE, "menu"), lambda: other(_ADVERT, "ad"), menu, form, lambda: other(_NOTE, "note"), lambda: other(_SHARE, "menu")]
-    html += [f() for f in rng.sample(before, rng.randint(0, 4))]
-    body = [say(title, 1, rng.choice(["<h1>{}</h1>", "<h1><a href='/'>{}</a></h1>", "<header><h1>{}</h1></header>"]))] if rng.random() < 0.8 else []
-    body += [inside() for _ in range(rng.choice([0, 1, 2, 4, 8, 14]))]
-    if rng.random() < 0.2:
-        body.append(other(_TALK, "talk"))
-    html.append(wrap(rng.choice(_MAIN), "".join(body)))
-    html += [f() for f in rng.sample(after, rng.randint(0, 5))]
-    html.append(rng.choice(["</body></html>", "</body>", ""]))
-    return "".join(html), parts
+        return [self.w, self.u, self.b, self.out]
+
+    def run(self, z: np.ndarray, sizes: np.ndarray, tape: list | None = None) -> np.ndarray:
+        """Logits of the blocks of all pages, from their inputs to the gates (block, 8 * HIDDEN); what training needs goes on ``tape``.
+
+        Gates are in, forget, out and new; sigmoid(x) is taken as (1 + tanh(x / 2)) / 2, so that one tanh does for all.
+        """
+        h, pages = HIDDEN, len(sizes)
+        at, here = _order(sizes)
+        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(np.float32)
+        u, sides = self.u * half, np.arange(2)[:, None]
+        z = (z.reshape(-1, 2, 4 * h) * half).astype(np.float32)
+        hidden = np.zeros((len(z), 2 * h), np.float32)
+        s, c = np.zeros((2, pages, h), np.float32), np.zeros((2, pages, h), np.float32)
+        for t in range(len(at)):
+            g = np.tanh(z[at[t], sides] + np.matmul(s, u))
+            gate = g[..., : 3 * h] * 0.5 + 0.5
+            new = gate[..., h : 2 * h] * c + gate[..., :h] * g[..., 3 * h :]
+            tc = np.tanh(new)
+            if tape is not None:
+                tape.append((s, c, gate, g[..., 3 * h :], tc))
+            s, c = gate[..., 2 * h :] * tc, new
+            if pages == 1:
+                hidden[at[t, 0, 0], :h], hidden[at[t, 1, 0], h:] = s[0, 0], s[1, 0]
+            else:
+                ok = here[t]
+                hidden[at[t, 0, ok], :h], hidden[at[t, 1, ok], h:] = s[0, ok], s[1, ok]
+        if tape is not None:
+            tape.append(hidden)
+        return hidden @ self.out[:-1] + self.out[-1]
+
+    def grads(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean loss over the blocks (x: their vectors, y: labels) of all pages, and its gradient for each of :meth:`params`."""
+        tape: list = []
+        logits = self.run(x @ self.w + self.b, sizes, tape)
+        hidden, h, n = tape.pop(), HIDDEN, len(x)
+        p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+        d = ((p - y) / n).astype(np.float32)
+        loss = float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).sum() / n)
+        g_out = np.concatenate([d @ hidden, [d.sum()]]).astype(np.float32)
+        at, here = _order(sizes)
+        back = np.stack([d[:, None] * self.out[:h], d[:, None] * self.out[h : 2 * h]], axis=1)
+        dz_all, gu = np.zeros((n, 2, 4 * h), np.float32), np.zeros_like(self.u)
+        ds, dc_next, sides, ut = np.zeros((2, len(sizes), h), np.float32), np.zeros((2, len(sizes), h), np.float32), np.arange(2)[:, None], self.u.transpose(0, 2, 1)
+        for t in range(len(at) - 1, -1, -1):
+            s, c, gate, g, tc = tape[t]
+            i, f, o = gate[..., :h], gate[..., h : 2 * h], gate[..., 2 * h :]
+            m = here[t][None, :, None]
+            ds = m * (back[at[t], sides] + ds)
+            dc = m * dc_next + ds * o * (1 - tc * tc)
+            dz = np.concatenate([dc * g * i * (1 - i), dc * c * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - g * g)], axis=2)
+            ok = here[t]
+            dz_all[at[t, 0, ok], 0], dz_all[at[t, 1, ok], 1] = dz[0, ok], dz[1, ok]
+            gu += np.matmul(s.transpose(0, 2, 1), dz)
+            ds, dc_next = np.matmul(dz, ut), dc * f
+        flat = dz_all.reshape(n, 8 * h)
+        return loss, [x.T @ flat, gu, flat.sum(0), g_out]
 
 
 def training_set(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -317,9 +180,18 @@ def training_set(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
         html, parts = sample_page(rng)
         found = blocks(html)
         want = [(" ".join(t.split()), y) for t, y in parts if t.split()]
-        if not found or [t for _, t, _ in found] != [t for t, _ in want]:
+        if not found or sorted(b.text for b in found) != sorted(t for t, _ in want):
             continue  # a nesting that markup rules undo
-        out.append((vectors(found), np.array([y for _, y in want], np.float32)))
+        label: dict[str, int] = {}
+        for t, y in want[::-1]:
+            label[t] = y if label.get(t, y) == y else -1
+        y = [label[b.text] for b in found]
+        if -1 in y:  # a text that is main and other on one page: the title; by place then
+            if [b.text for b in found] != [t for t, _ in want]:
+                y = [v if v >= 0 else int(k > 0) for k, v in enumerate(y)]
+            else:
+                y = [v for _, v in want]
+        out.append((vectors(found), np.array(y, np.float32)))
     return out
 
 
@@ -330,17 +202,15 @@ def labeller() -> Labeller:
     rng = np.random.default_rng(SEED)
     net = Labeller(rng)
     mom, var, step = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
-    for epoch in range(EPOCHS):
+    last = EPOCHS * -(-len(data) // LOT)
+    for _ in range(EPOCHS):
         order = sorted(range(len(data)), key=lambda i: (len(data[i][0]) // 12, rng.random()))
-        lots = [order[i : i + 24] for i in range(0, len(order), 24)]
+        lots = [order[i : i + LOT] for i in range(0, len(order), LOT)]
         for k in rng.permutation(len(lots)):
-            x, here = pad([data[i][0] for i in lots[k]])
-            y = np.zeros(here.shape, np.float32)
-            for row, i in enumerate(lots[k]):
-                y[row, : len(data[i][1])] = data[i][1]
-            _, grads = net.grads(x, here, y)
+            lot = [data[i] for i in lots[k]]
+            _, grads = net.grads(np.concatenate([x for x, _ in lot]), np.array([len(x) for x, _ in lot]), np.concatenate([y for _, y in lot]))
             step += 1
-            rate = 0.012 * (1 - 0.8 * epoch / EPOCHS)
+            rate = 0.014 * max(0.02, 1 - step / last)
             for p, g, m, v in zip(net.params(), grads, mom, var, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -355,15 +225,20 @@ def main_texts(htmls: list[str | None], net: Labeller) -> list[str]:
     out = [""] * len(found)
     at = 0
     while at < len(order):
-        lot, longest = [], 0
-        while at < len(order) and len(lot) < 256 and (not lot or (len(lot) + 1) * len(found[order[at]]) <= 8192):
+        lot, total = [], 0
+        while at < len(order) and (not lot or len(lot) < 256 and total + len(found[order[at]]) <= 8192):
             lot.append(order[at])
-            longest = len(found[order[at]])
+            total += len(found[order[at]])
             at += 1
-        assert longest
-        logits, _ = net.run(*pad([vectors(found[i]) for i in lot]))
-        for row, i in enumerate(lot):
-            out[i] = " ".join(b[1] for b, z in zip(found[i], logits[row], strict=False) if z > 0)
+        of: dict[tuple, int] = {}
+        which = [of.setdefault(b.path, len(of)) for i in lot for b in found[i]]
+        z = (np.array([path_vector(p) for p in of]) @ net.w[:PATH_DIM] + net.b)[which]
+        z += np.concatenate([rest_vectors(found[i]) for i in lot]) @ net.w[PATH_DIM:]
+        keep = net.run(z, np.array([len(found[i]) for i in lot])) > 0
+        start = 0
+        for i in lot:
+            out[i] = " ".join(b.text for b, k in zip(found[i], keep[start : start + len(found[i])], strict=True) if k)
+            start += len(found[i])
     return out
 
 
@@ -371,7 +246,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Null and empty html, and pages without main blocks, give an empty text and 0. Broken markup is read as far as it
-    goes. Rows are neither moved nor joined: repeated rows, null ids and urls stay, an empty table gives an empty one.
+    goes, in time linear in its length. Rows are neither moved nor joined: repeated rows, null ids and urls stay, an
+    empty table gives an empty one.
     """
     shared = pages.sparkSession.sparkContext.broadcast(labeller())
 

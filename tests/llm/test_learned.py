@@ -15,9 +15,9 @@ from quillstone.llm import html_main, toxicity
 
 def test_blocks_of_broken_markup():
     found = html_main.blocks("<p>a<b>b</b> c<p>d &amp; &#x41;<br>e<script>x='</p>'</script><!-- n --><ul><li>f<li>g</ul>tail")
-    assert [t for _, t, _ in found] == ["ab c", "d & A e", "f", "g", "tail"]
+    assert [b.text for b in found] == ["ab c", "d & A e", "f", "g", "tail"]
     assert html_main.blocks(None) == html_main.blocks("") == []
-    assert [t for _, t, _ in html_main.blocks("plain <text")] == ["plain <text"] or html_main.blocks("plain <text")[0][1].startswith("plain")
+    assert [b.text for b in html_main.blocks("plain <text")] == ["plain"]
 
 
 def test_gradients_match_differences():
@@ -25,33 +25,40 @@ def test_gradients_match_differences():
     net = html_main.Labeller(rng)
     for p in net.params():
         p += rng.normal(0, 0.05, p.shape).astype(np.float32)
-    x, here = html_main.pad([rng.normal(0, 1, (n, html_main.DIM)).astype(np.float32) for n in (3, 5, 1)])
-    y = (rng.random(here.shape) < 0.5).astype(np.float32)
-    _, grads = net.grads(x, here, y)
+    sizes = np.array([3, 5, 1])
+    x, y = rng.normal(0, 1, (9, html_main.DIM)).astype(np.float32), (rng.random(9) < 0.5).astype(np.float32)
+    _, grads = net.grads(x, sizes, y)
     for p, g in zip(net.params(), grads, strict=True):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         old, step = p[at], 1e-2
         p[at] = old + step
-        up = net.grads(x, here, y)[0]
+        up = net.grads(x, sizes, y)[0]
         p[at] = old - step
-        down = net.grads(x, here, y)[0]
+        down = net.grads(x, sizes, y)[0]
         p[at] = old
         assert (up - down) / (2 * step) == pytest.approx(g[at], rel=0.1, abs=2e-4)
 
 
+def test_pages_do_not_change_each_other():
+    rng = np.random.default_rng(1)
+    net = html_main.Labeller(rng)
+    x = [rng.normal(0, 1, (n, html_main.DIM)).astype(np.float32) for n in (4, 1, 7)]
+    alone = np.concatenate([net.run(p @ net.w + net.b, np.array([len(p)])) for p in x])
+    assert net.run(np.concatenate(x) @ net.w + net.b, np.array([4, 1, 7])) == pytest.approx(alone, abs=1e-4)
+
+
 def test_held_out_pages(spark, sf):
     net = html_main.labeller()
     right = total = 0
     for x, y in html_main.training_set(80, 4242):
-        logits, _ = net.run(*html_main.pad([x]))
-        right, total = right + int(((logits[0] > 0) == y).sum()), total + len(y)
-    assert right / total > 0.96
+        right, total = right + int(((net.run(x @ net.w + net.b, np.array([len(x)])) > 0) == y).sum()), total + len(y)
+    assert right / total > 0.98
     pages = pd.read_parquet(f"{sf}/pages.parquet")
     want = [" ".join(html_lib.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", h, re.S)[1]))).split()) for h in pages.html]
     frame = spark.createDataFrame([*zip(pages.page_id.tolist(), pages.url, pages.html, strict=True), (-1, None, None), (-2, "u", "")], "page_id long, url string, html string")
     got = {r.page_id: r for r in html_main.extract(frame).collect()}
     same = sum(got[i].text == w for i, w in zip(pages.page_id, want, strict=True))
-    assert same >= 0.95 * len(want)
+    assert same >= 0.98 * len(want)
     assert got[-1].text == got[-2].text == "" and all(r.n_chars == len(r.text) for r in got.values())
     assert html_main.extract(frame.limit(0)).count() == 0
 
