@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import shared_dir
+
 DELAY = "10 minutes"
 
 
@@ -68,13 +70,8 @@ def running_state(events: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a stream below the shared folder that the cluster names, or a temporary one where none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="quillstone-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for a stream below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 Transform = Callable[[DataFrame], DataFrame]
