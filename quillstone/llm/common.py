@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,21 +11,24 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: A key counts as hot when it holds at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 256
-_OWN: dict[str, str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
+def quoted(name: str) -> str:
+    """A column's name as SQL reads it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
 
-    Only where it is unset (tests, local mode) a folder of our own is made.
-    """
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        _OWN[spark.sparkContext.applicationId] = set_to
-    return set_to.rstrip("/")
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct, which clashes with no other column."""
+    return F.struct(*[col(c) for c in df.columns])
 
 
 class Workspace:
@@ -103,7 +104,3 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, share: Column, keep: l
     joined = marked.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")
     value = F.coalesce(F.col("_hot_v"), F.col("_cold_v"))
     return joined.select(*[F.col(c) for c in left.columns], *[value[c].alias(c) for c in keep])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

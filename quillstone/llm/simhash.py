@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, Workspace, as_bytes, hot_join, small_batches
+from .common import HOT_SHARE, Workspace, as_bytes, hot_join, small_batches, whole_row
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -49,7 +49,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text"):
         prints = np.array([fingerprint(t) for t in as_bytes(batch.column("text"))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(prints.view(np.int64))], ["doc_id", "mark", "fp"])
 
 
 class _Labels:
@@ -186,6 +186,24 @@ def link_prints(prints: DataFrame, n: int, work: Workspace, max_bits: int = MAX_
     return found.distinct()
 
 
+def _grouped(docs: DataFrame, max_bits: int, work: Workspace) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, groups, number of rows): (doc_id, mark, fp) a row of ``docs``; (fp, n, component_id, first) a fingerprint.
+
+    mark is a hash of the text. first is the (doc_id, mark) that comes first in the component, component_id its doc_id.
+    """
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
+    rows = work.table(marked.mapInArrow(_prints, "doc_id long, mark long, fp long"), "prints")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    groups = work.table(rows.groupBy("fp").agg(first.alias("rep"), F.count("*").alias("n")), "groups")
+    total, n = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    linked = work.table(components(link_prints(groups.select("fp"), n, work, max_bits), work), "linked")
+    named = linked.join(groups.select(F.col("fp").alias("node"), "rep"), "node")
+    roots = work.table(named.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("c")), "roots")
+    names = hot_join(named, roots, "root", F.col("c") * HOT_SHARE >= max(n, 1), ["first"]).select(F.col("node").alias("fp"), F.col("first").alias("linked"))
+    named_groups = groups.join(names, "fp", "left").select("fp", "n", F.coalesce("linked", "rep").alias("first"))
+    return rows, work.table(named_groups.withColumn("component_id", F.col("first.doc_id")), "named"), total
+
+
 def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -193,28 +211,23 @@ def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     fingerprint 0 and link like any other. Rows with a null doc_id keep it and take their component's id (null if it
     has no other). Repeated rows give repeated results; an empty table gives an empty one.
     """
-    work = Workspace(docs.sparkSession, "simhash")
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_prints, "doc_id long, fp long")
-    rows = work.table(prints, "prints")
-    groups = work.table(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups")
-    total, n = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    linked = work.table(components(link_prints(groups.select("fp"), n, work, max_bits), work), "linked")
-    named = linked.join(groups.select(F.col("fp").alias("node"), "rep"), "node")
-    roots = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("c"))
-    roots = work.table(roots, "roots")
-    names = hot_join(named, roots, "root", F.col("c") * HOT_SHARE >= max(n, 1), ["component_id"]).select(F.col("node").alias("fp"), F.col("component_id").alias("linked_id"))
-    named_groups = groups.join(names, "fp", "left").select("fp", "n", F.coalesce("linked_id", "rep").alias("component_id"))
-    named_groups = work.table(named_groups, "named")
-    return hot_join(rows, named_groups, "fp", F.col("n") * HOT_SHARE >= max(total, 1), ["component_id"]).select("doc_id", "fp", "component_id")
+    rows, groups, total = _grouped(docs, max_bits, Workspace(docs.sparkSession, "simhash"))
+    return hot_join(rows, groups, "fp", F.col("n") * HOT_SHARE >= max(total, 1), ["component_id"]).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of ``docs`` with one document of each group left: the one with the smallest doc_id.
+    """Rows of ``docs`` with one row of each group left: that with the smallest doc_id (of several, with the smallest hash of its text).
 
-    Repeated rows of that doc_id are brought to one. Rows with a null doc_id can't be named by a group and all stay.
+    Rows are told apart by doc_id and text, so two different texts of one doc_id lose none that is no copy; repeated
+    rows are brought to one. Rows with a null doc_id can't be named by a group and all stay.
     """
-    found = simhash_components(docs, max_bits)
-    drop = found.filter(F.col("doc_id") != F.coalesce("component_id", "doc_id")).select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
-    twice = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null")) if twice else kept
+    work = Workspace(docs.sparkSession, "near-dedup")
+    rows, groups, total = _grouped(docs, max_bits, work)
+    found = hot_join(rows, groups, "fp", F.col("n") * HOT_SHARE >= max(total, 1), ["first"]).filter("doc_id is not null")
+    mine = F.struct("doc_id", "mark")
+    drop = found.filter(mine != F.col("first")).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
+    packed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    kept = packed.join(drop, (F.col("id") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left_anti")
+    if rows.filter("doc_id is not null").groupBy("doc_id", "mark").count().filter("count > 1").take(1):
+        kept = kept.filter("id is not null").dropDuplicates(["id", "mark"]).unionByName(kept.filter("id is null"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -113,3 +113,11 @@ def test_near_dedup_keeps_one_of_each(spark):
 def test_null_ids_take_the_group_id(spark):
     got = simhash.simhash_components(spark.createDataFrame([(None, "a b"), (5, "a b"), (None, "z y x w v")], "doc_id long, text string")).select("doc_id", "component_id")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, 5), (5, 5), (None, None)], key=str)
+
+
+def test_near_dedup_tells_texts_of_one_doc_id_apart(spark):
+    one, two, three = "a b c d e f g h", "q r s t u v w x", "m n o p l k j i"
+    rows = [(1, one, 1), (2, one, 2), (2, two, 3), (3, two, 4), (5, three, 5), (5, three, 5), (5, one, 6)]
+    got = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, `a.b` int"))
+    assert got.columns == ["doc_id", "text", "a.b"]
+    assert sorted(map(tuple, got.collect())) == [(1, one, 1), (2, two, 3), (5, three, 5)]
