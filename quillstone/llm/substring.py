@@ -3,6 +3,11 @@
 A run of SPAN_WORDS words found more than once, within a document or across documents, is a repeated span; its first
 place is the one with the smallest (doc_id, word). Words that a span in any other place covers are removed, so every
 repeat of SPAN_WORDS words or more goes whole, wherever in a sentence it begins or ends, and shorter ones are left alone.
+Runs of whole sentences that repeat are among these spans; by sentences alone a passage that begins or ends inside one
+would lose its edges, or be missed, so the unit that slides and goes is the word.
+
+A document is one text of one doc_id: rows of one doc_id with different texts are documents side by side, ordered by a
+mark (CRC-32) of the text, and equal rows are one document.
 
 Not every span is hashed. The anchor of a span is the run of ANCHOR_WORDS words in it with the smallest hash, the last
 of equal ones; equal spans have equal anchors. Spans that follow each other and share an anchor are one segment, a row.
@@ -13,15 +18,17 @@ different segments, the spans of the first of each are hashed to 128 bits and co
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import HOT_SHARE, Workspace, as_bytes, hot_join, small_batches
+from .common import HOT_SHARE, Workspace, as_bytes, hot_join, small_batches, whole_row
 
 SPAN_WORDS = 25
 ANCHOR_WORDS = 13
@@ -96,73 +103,77 @@ def segments(texts: list[bytes | None], least: int = SPAN_WORDS) -> tuple[np.nda
 def _segment_rows(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 4 << 20):
-            ids = batch.column("doc_id").to_pylist()
-            doc, a, b, h1, h2 = segments([t if d is not None else None for d, t in zip(ids, as_bytes(batch.column("text")), strict=True)], least)
+            ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
+            doc, a, b, h1, h2 = segments([t if d is not None else None for d, t in zip(ids, texts, strict=True)], least)
             ids = np.array([d or 0 for d in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[doc]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["h1", "h2", "doc_id", "a", "b"])
+            marks = (np.array([zlib.crc32(t or b"") for t in texts], np.int64) - (1 << 31)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[doc]), pa.array(marks[doc]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["h1", "h2", "doc_id", "mark", "a", "b"])
 
     return run
 
 
 def _span_rows(least: int):
-    """(h, doc_id, a) of the spans of the segments given with each text."""
+    """(h, doc_id, mark, a) of the spans of the segments given with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
             words, ends = _hashed(as_bytes(batch.column("text")))
             pair = np.empty((max(len(words) - least + 1, 0), 2), np.uint64)
             pair[:, 0], pair[:, 1] = _runs(words, least, 0), _runs(_mix(words ^ _TIMES[1, 255]), least, 1)
-            ids, at, docs = batch.column("doc_id").to_pylist(), [], []
-            for i, (d, found) in enumerate(zip(ids, batch.column("segments").to_pylist(), strict=True)):
-                last = ends[i + 1] - ends[i] - least + 1
-                mine = np.unique(np.concatenate([np.arange(x["a"], min(x["b"], last)) for x in found]))
-                at.append(mine)
-                docs.append(np.full(len(mine), d, np.int64))
-            at = [x.astype(np.int32) for x in at]
+            at = [np.unique(np.concatenate([np.arange(x["a"], x["b"], dtype=np.int32) for x in found])) for found in batch.column("segments").to_pylist()]
+            sizes = [len(x) for x in at]
+            docs, marks = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc_id", "mark"))
             flat = np.concatenate([x + ends[i] for i, x in enumerate(at)]) if at else np.zeros(0, np.int64)
+            at = np.concatenate(at) if at else np.zeros(0, np.int32)
             for s in range(0, len(flat), 200_000):
                 raw = pa.py_buffer(np.ascontiguousarray(pair[flat[s : s + 200_000]]).tobytes())
                 m = len(flat[s : s + 200_000])
                 h = pa.Array.from_buffers(pa.binary(16), m, [None, raw]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([h, pa.array(np.concatenate(docs)[s : s + m]), pa.array(np.concatenate(at)[s : s + m])], ["h", "doc_id", "a"])
+                yield pa.RecordBatch.from_arrays([h, *(pa.array(x[s : s + m]) for x in (docs, marks, at))], ["h", "doc_id", "mark", "a"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """(doc_id, spans array<struct<a,b>>) of documents with a repeated span in other than its first place; b is the end in words.
+    """(doc_id, mark, spans array<struct<a,b>>) of documents with a repeated span in other than its first place; b is the end in words.
 
     Counting moves one hash a segment and adds up before the shuffle, so a passage that a third of the documents hold is
     one row a task; only segments with a repeated anchor are joined, with hot hashes spread.
     """
     work = Workspace(docs.sparkSession, "spans")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = work.table(ids.mapInArrow(_segment_rows(least), "h1 long, h2 long, doc_id long, a int, b int"), "segments")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = work.table(ids.mapInArrow(_segment_rows(least), "h1 long, h2 long, doc_id long, mark int, a int, b int"), "segments")
     often = work.table(every.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     total = max(often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
     hot = F.col("n") * HOT_SHARE >= total
-    found = work.table(hot_join(every, often, "h1", hot, ["n"], salt=["doc_id", "a", "b"]).filter("n is not null").drop("n"), "found")
+    place = ["doc_id", "mark", "a"]
+    found = work.table(hot_join(every, often, "h1", hot, ["n"], salt=place).filter("n is not null").drop("n"), "found")
     work.drop(every)
+    elsewhere = F.struct(*place) != F.col("first")
     key = F.hex(F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))).alias("h")
-    keyed = found.select(key, "doc_id", "a", "b")
-    place = F.struct("doc_id", "a")
-    classes = work.table(found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "a", "b")).alias("first"), F.count("*").alias("n")), "classes")
-    several = classes.filter("n > 1").select(key, "first", "n")
-    whole = hot_join(keyed, several, "h", hot, ["first"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.a")))
-    gone = work.table(whole.select("doc_id", "a", (F.col("b") + least - 1).alias("b")), "whole")
+    classes = work.table(found.groupBy("h1", "h2").agg(F.min(F.struct(*place, "b")).alias("first"), F.count("*").alias("n")), "classes")
+    several = classes.filter("n > 1").select(key, F.struct(*[F.col("first")[c].alias(c) for c in place]).alias("first"), "n")
+    whole = hot_join(found.select(key, *place, "b"), several, "h", hot, ["first"]).filter(elsewhere)
+    gone = work.table(whole.select(*place, (F.col("b") + least - 1).alias("b")), "whole")
 
     # anchors of different segments: the spans of the first of each
     mixed = work.table(classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
     kinds = max(mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
     part = hot_join(classes.select("h1", "h2", "first"), mixed, "h1", F.col("n") * HOT_SHARE >= kinds, ["n"], salt=["h2"]).filter("n is not null")
-    part = part.groupBy(F.col("first.doc_id").alias("_d")).agg(F.collect_list(F.struct("first.a", "first.b")).alias("segments"))
-    spans = ids.join(part, F.col("doc_id") == F.col("_d")).select("doc_id", "text", "segments").mapInArrow(_span_rows(least), "h binary, doc_id long, a int")
+    part = part.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.mark").alias("_m")).agg(F.collect_list(F.struct("first.a", "first.b")).alias("segments"))
+    texts = ids.withColumn("mark", text_mark())
+    spans = texts.join(part, (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc_id", "mark", "text", "segments").mapInArrow(_span_rows(least), "h binary, doc_id long, mark int, a int")
     spans = work.table(spans, "spans")
-    first = work.table(spans.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
+    first = work.table(spans.groupBy("h").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     most = max(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
-    later = hot_join(spans, first, "h", F.col("n") * HOT_SHARE >= most, ["first"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.a")))
-    gone = gone.unionByName(later.select("doc_id", "a", (F.col("a") + least).alias("b")))
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    later = hot_join(spans, first, "h", F.col("n") * HOT_SHARE >= most, ["first"]).filter(elsewhere)
+    gone = gone.unionByName(later.select(*place, (F.col("a") + least).alias("b")))
+    return gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+
+def text_mark() -> Column:
+    """CRC-32 of the text, moved into the range of an integer, as the segments have it."""
+    return (F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
 
 
 def cut(text: bytes | None, pairs: list[dict] | None) -> tuple[bytes | None, int, int]:
@@ -182,12 +193,13 @@ def dedup(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
     """``docs`` (doc_id, text and any others) with repeated words removed, and n_sentences and n_removed, which count words.
 
     Null texts stay null, texts without repeats keep every byte, and texts of which all words go become empty.
-    Rows of one doc_id are one document, so repeated rows are not each other's repeats; rows with a null doc_id have no
-    place in the order and stay as they are. n_chars follows the text where it changed. An empty table stays empty.
+    Equal rows are one document, so they are not each other's repeats; rows of one doc_id with different texts are
+    documents side by side. Rows with a null doc_id have no place in the order and stay as they are. n_chars follows
+    the text where it changed. Columns of other names stay, whatever they are; an empty table stays empty.
     """
-    found = repeated_spans(docs, least).withColumnRenamed("doc_id", "_span_doc")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_doc"), "text")
-    joined = packed.join(found, F.col("_doc") == F.col("_span_doc"), "left").select("row", "text", "spans")
+    found = repeated_spans(docs, least).withColumnsRenamed({"doc_id": "_span_doc", "mark": "_span_mark"})
+    packed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_mark().alias("_mark"), F.col("text").cast("string").alias("text"))
+    joined = packed.join(found, (F.col("_doc") == F.col("_span_doc")) & (F.col("_mark") == F.col("_span_mark")), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -197,14 +209,15 @@ def dedup(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
                 ["row", "new_text", "n_sentences", "n_removed"],
             )
 
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, new_text string, n_sentences long, n_removed long"
+    schema = StructType([packed.schema["row"], StructField("new_text", StringType()), StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
     out = joined.mapInArrow(run, schema)
     changed, cols = F.col("n_removed") > 0, []
     for c in docs.columns:
-        value = F.col("row")[c]
+        value = F.col("row").getField(c)
         if c == "text":
             value = F.when(changed, F.col("new_text")).otherwise(value)
         elif c == "n_chars":
             value = F.when(changed, F.char_length("new_text").cast(docs.schema[c].dataType)).otherwise(value)
         cols.append(value.alias(c))
-    return out.select(*cols, *[c for c in ("n_sentences", "n_removed") if c not in docs.columns])
+    taken = {c.lower() for c in docs.columns}
+    return out.select(*cols, *[c for c in ("n_sentences", "n_removed") if c not in taken])
