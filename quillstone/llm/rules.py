@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace, whole_row
+
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -34,6 +36,8 @@ RULES = (
     Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     Rule("shouting", "n_upper > n_lower"),
+    Rule("often_repeated_windows", "100 * n_repeat_words > 30 * n_words"),
+    Rule("some_symbols", "20 * n_symbols > n_words"),
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 
@@ -52,7 +56,9 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
-STANDARD = Policy("standard", 1, tuple(BIT))
+STANDARD = Policy("standard", 1, ("few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "shouting"))
+#: The next version, on trial: two rules more, which the ledger has bits for already.
+STRICT = Policy("standard", 2, (*STANDARD.rules, "often_repeated_windows", "some_symbols"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def measure(docs: DataFrame) -> DataFrame:
     Needs a column text; columns of ``docs`` named like a measurement are replaced.
     """
     text = F.coalesce(F.col("_row.text"), F.lit(""))
-    d = docs.select(F.struct(*docs.columns).alias("_row"))
+    d = docs.select(whole_row(docs).alias("_row"))
     d = d.select("_row", text.alias("_t"), F.filter(F.split(text, SPACE), lambda w: w != "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_l"))
     n = F.size("_w")
     window = lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
@@ -84,7 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_upper": F.regexp_count("_t", F.lit("[A-Z]")),
         "n_lower": F.regexp_count("_t", F.lit("[a-z]")),
     }
-    return d.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in made], *[v.cast("long").alias(k) for k, v in made.items()])
+    return d.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in made], *[v.cast("long").alias(k) for k, v in made.items()])
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -119,21 +125,43 @@ def compare(entries: DataFrame, old: Policy, new: Policy) -> DataFrame:
     return entries.groupBy((~fails(old)).alias("kept_before"), (~fails(new)).alias("kept_after")).count()
 
 
-def judge(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, fail_bits) a row of ``docs``.
+def sole_rule(policy: Policy, bits: str = "fail_bits") -> Column:
+    """The bit of the only rule of a policy that a document fails, else 0: without that rule the document would be kept."""
+    held = F.col(bits).bitwiseAND(F.lit(policy.mask))
+    return F.when(F.bit_count(held) == 1, held).otherwise(F.lit(0)).cast("long")
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs`` (doc_id, text), written to the shared folder: ids, all measurements and bits, no texts."""
+    return Workspace(docs.sparkSession, "rules").table(ledger(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text"), "ledger")
+
 
-    Rows are neither moved nor joined: repeated rows and null ids stay, an empty table gives an empty one. Null and
-    blank texts fail the base rule on words.
+def judge(docs: DataFrame, policies: tuple[Policy, Policy] = (STANDARD, STRICT)) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, the measurements, base_failed, kept, fail_bits, kept_strict, sole_bit, sole_docs.
+
+    The ledger is stored first; all verdicts and the ablation come from what is stored. kept is the first policy's
+    verdict and kept_strict the second's, both false where a base rule fails. sole_bit is the bit of the only rule of
+    the first policy that a document fails (else 0), and sole_docs how many documents that rule alone rejects. Rows are
+    not joined with each other: repeated rows and null ids stay, an empty table gives an empty one. Null and blank texts
+    fail the base rule on words.
     """
-    found = apply_policy(ledger(docs.select("doc_id", "text")), policy)
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails(BASE).alias("base_failed"), (F.col("kept") & ~fails(BASE)).alias("kept"), "fail_bits")
+    entries = store(docs)
+    alone = ablate(entries, policies[0]).select(F.element_at(F.create_map(*[x for r in policies[0].rules for x in (F.lit(r), F.lit(BIT[r]))]), F.col("rule")).cast("long").alias("bit"), "n_alone")
+    kept = [~fails(BASE) & ~fails(p) for p in policies]
+    found = entries.select("doc_id", *MEASURES, fails(BASE).alias("base_failed"), kept[0].alias("kept"), "fail_bits", kept[1].alias("kept_strict"), sole_rule(policies[0]).alias("sole_bit"))
+    # a row a rule: its size is the number of rules
+    joined = found.join(F.broadcast(alone), F.col("sole_bit") == F.col("bit"), "left")
+    return joined.select(*found.columns, F.coalesce("n_alone", F.lit(0)).cast("long").alias("sole_docs"))
 
 
 def keep(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """Rows of ``docs`` that pass the base rules and the policy, with their columns as they were."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """Rows of ``docs`` that pass the base rules and the policy, with their columns as they were.
+
+    Null and blank texts go (they have too few words); repeated rows and null ids stay; an empty table stays empty.
+    """
+    packed = docs.select(whole_row(docs).alias("row"), "text")
     found = ledger(packed).filter(~fails(BASE) & ~fails(policy))
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same ledger for DuckDB.
@@ -153,8 +181,11 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
              + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
              + (CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 16 ELSE 0 END)
-             + (CASE WHEN n_upper > n_lower THEN 32 ELSE 0 END) AS fail_bits FROM m)
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-       (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM f
+             + (CASE WHEN n_upper > n_lower THEN 32 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 64 ELSE 0 END)
+             + (CASE WHEN 20 * n_symbols > n_words THEN 128 ELSE 0 END) AS fail_bits FROM m),
+s AS (SELECT *, CASE WHEN (fail_bits & 63) IN (1, 2, 4, 8, 16, 32) THEN fail_bits & 63 ELSE 0 END AS sole_bit FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_lines::BIGINT AS n_lines,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, n_upper::BIGINT AS n_upper, n_lower::BIGINT AS n_lower,
+       (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits::BIGINT AS fail_bits, fail_bits = 0 AS kept_strict,
+       sole_bit::BIGINT AS sole_bit, (CASE WHEN sole_bit = 0 THEN 0 ELSE count(*) OVER (PARTITION BY sole_bit) END)::BIGINT AS sole_docs FROM s
 """

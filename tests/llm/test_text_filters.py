@@ -114,9 +114,9 @@ def plain_hits(text, items, window=13):
     return len(words), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
+@pytest.mark.parametrize("block", [8 << 20, 600])
 def test_decontamination_against_plain(spark, monkeypatch, block):
-    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", block)
+    monkeypatch.setattr(decontam, "PASS_BYTES", block)
     rng = random.Random(2)
     few = ["a", "b", "c"]
     items = [(i, " ".join(rng.choice(WORDS if i % 2 else few) for _ in range(rng.choice([3, 12, 13, 14, 40])))) for i in range(20)]
@@ -148,9 +148,28 @@ def test_cut_removes_the_words_and_nothing_else():
     assert decontam.cut(text.encode(), [(2, 5)]).decode() == "Start here, () and end."
 
 
-def test_a_benchmark_over_its_bound_is_refused(spark):
-    with pytest.raises(ValueError):
-        decontam.load_items(spark.createDataFrame([(1, "x" * 50)], "item_id long, text string"), most_bytes=10)
+def test_clashing_and_odd_columns(spark):
+    rng = random.Random(5)
+    item, twice = prose(rng, 30), prose(rng, 60)
+    rows = [(1, f"{prose(rng, 900)} {item}", 7, "x", 1, True), (2, twice + prose(rng, 50), 7, None, 2, None), (3, prose(rng, 60) + twice, 7, "y", 3, False), (4, None, None, "z", 4, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_hit int, `a.b` string, `q``uote` int, row boolean")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    hits = {r.doc_id: r for r in decontam.decontaminate(docs, bench).collect()}
+    assert hits[1].n_hit >= 30 and hits[4].n_hit == 0 and hits[1]["a.b"] == "x" and hits[1].row is True
+    for kept in (decontam.clean(docs, bench), substring.dedup(docs).select(*[f"`{c.replace('`', '``')}`" for c in docs.columns]), rules.keep(docs)):
+        assert kept.columns == docs.columns
+        assert {r.doc_id: tuple(r)[2:] for r in kept.collect()}.items() <= {r[0]: r[2:] for r in rows}.items()
+    assert {r.doc_id: r.text for r in decontam.clean(docs, bench).collect()}[2] == rows[1][1]
+
+
+def test_two_texts_of_one_doc_id(spark):
+    rng = random.Random(8)
+    shared, short = prose(rng, 60).strip(), "only a few words here"
+    rows = [(2, f"{prose(rng, 40)}{shared} {prose(rng, 40)}"), (2, short), (2, short), (1, f"{shared} {prose(rng, 9)}"), (3, prose(rng, 80)), (3, f"{shared}")]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and Counter(r.text for r in got)[short] == 2
+    assert sum(shared in r.text for r in got) == 1 and any(r.doc_id == 1 and shared in r.text for r in got)
+    assert any(r.doc_id == 3 and r.text == rows[4][1] for r in got) and any(r.doc_id == 3 and r.text == "" for r in got)
 
 
 RULE_ROWS = [
@@ -180,7 +199,40 @@ def test_ablation_counts_bits(spark):
     entries = rules.ledger(frame)
     bits = [r.fail_bits for r in entries.collect()]
     got = {r.rule: (r.n_failed, r.n_alone, r.n_rejected) for r in rules.ablate(entries, rules.STANDARD).collect()}
-    want = {n: (sum(b & k > 0 for b in bits), sum(b == k for b in bits), sum(b > 0 for b in bits)) for n, k in rules.BIT.items()}
+    held = [b & rules.STANDARD.mask for b in bits]
+    want = {n: (sum(b & rules.BIT[n] > 0 for b in held), sum(b == rules.BIT[n] for b in held), sum(b > 0 for b in held)) for n in rules.STANDARD.rules}
     assert got == want
+    judged = rules.judge(frame).collect()
+    assert {r.sole_bit: r.sole_docs for r in judged if r.sole_bit} == {rules.BIT[n]: w[1] for n, w in want.items() if w[1]}
+    assert all((r.sole_docs == 0) == (r.sole_bit == 0) and (not r.kept_strict or r.kept) for r in judged)
     both = {(r.kept_before, r.kept_after): r["count"] for r in rules.compare(entries, rules.BASE, rules.STANDARD).collect()}
     assert (False, True) not in both and sum(both.values()) == len(RULE_ROWS)
+
+
+def test_rules_on_a_very_long_text(spark):
+    rng = random.Random(6)
+    words = [rng.choice(WORDS) for _ in range(150_000)]
+    seen, windows = Counter(zip(words, words[1:], words[2:], strict=False)), set()
+    for i, w in enumerate(zip(words, words[1:], words[2:], strict=False)):
+        if seen[w] > 1:
+            windows.update((i, i + 1, i + 2))
+    r = rules.judge(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_repeat_words, r.word_chars) == (len(words), len(windows), sum(map(len, words)))
+
+
+def test_an_automaton_steps_as_tables_do():
+    rng = random.Random(9)
+    items = [[rng.randrange(4) for _ in range(rng.randint(1, 30))] for _ in range(40)]
+    auto = decontam.SuffixAutomaton()
+    for x in items:
+        auto.add(x)
+    auto.mark([(str(k), x) for k, x in enumerate(items)])
+    for _ in range(2000):
+        probe = [rng.randrange(4) for _ in range(rng.randint(1, 8))]
+        s = 0
+        for w in probe:
+            s = auto.go(s, w)
+            if not s:
+                break
+        held = tuple(k for k, x in enumerate(items) if any(x[i : i + len(probe)] == probe for i in range(len(x))))
+        assert (auto.items[s] if s else ()) == held
