@@ -24,7 +24,7 @@ from .common import HOT_SHARE, Workspace, as_bytes, hot_join, make_dirs, open_fs
 
 DICT_MAGIC = 0x184D2A5D
 SAMPLE_BYTES, DICT_BYTES, LEVEL, CHUNK = 1 << 20, 32 << 10, 3, 1 << 20
-#: Bytes of html aimed at in one archive.
+#: Bytes of html after which a task begins another archive.
 ARCHIVE_BYTES = 128 << 20
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,47 +182,53 @@ SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 
 def first_pages(pages: DataFrame, min_bytes: int, work: Workspace) -> DataFrame:
-    """``pages`` with first_page: the smallest page_id with an equal payload of at least ``min_bytes`` bytes, else null.
+    """``pages`` (page_id, url, html) with first_page: for a revisit the smallest page_id with an equal payload of at least ``min_bytes`` bytes, else null.
 
-    Payloads are compared by SHA-256. Counting adds up before the shuffle; the digests of groups of two or more come back
-    to the pages by a join that spreads hot groups, on ids and digests alone.
+    Payloads are compared by SHA-256. Counting adds up before the shuffle, and the digests of groups of two or more are
+    joined with ids and digests alone, hot groups spread. Pages then meet their decision by id and digest, so that rows
+    of one page_id with different payloads keep their own; that is the one shuffle of payloads.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    ids = work.table(pages.select("page_id", F.when(F.octet_length(payload) >= min_bytes, F.unhex(F.sha2(payload, 256))).alias("key")), "keys")
+    key = F.when(F.octet_length(payload) >= min_bytes, F.unhex(F.sha2(payload, 256)))
+    ids = work.table(pages.select("page_id", key.alias("key")), "keys")
     groups = ids.filter("key is not null").groupBy("key").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).filter("n > 1")
     groups = work.table(groups, "groups")
     total = ids.count()
     named = hot_join(ids, groups, "key", F.col("n") * HOT_SHARE >= max(total, 1), ["first_page"]).filter("first_page is not null and page_id != first_page")
-    return pages.join(named.select(F.col("page_id").alias("_p"), "first_page").distinct(), F.col("page_id") == F.col("_p"), "left").drop("_p")
+    later = named.select(F.col("page_id").alias("_p"), F.col("key").alias("_k"), "first_page").distinct()
+    return pages.withColumn("key", key).join(later, (F.col("page_id") == F.col("_p")) & (F.col("key") == F.col("_k")), "left").drop("_p", "_k", "key")
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as archives below ``folder``; returns (file, n_records), a row an archive."""
-    spark, work = pages.sparkSession, Workspace(pages.sparkSession, "warc")
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int | None = None) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as archives below ``folder``; returns (file, n_records), a row an archive.
+
+    A task begins another archive, with a dictionary of its own, where one holds ``archive_bytes`` of html or more.
+    """
+    spark, work, most = pages.sparkSession, Workspace(pages.sparkSession, "warc"), archive_bytes or ARCHIVE_BYTES
     make_dirs(folder)
     rows = pages.filter("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     marked = first_pages(rows, min_bytes, work)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = small_batches(batches, "html")
-        first = next((b for b in parts if b.num_rows), None)
-        if first is None:
-            return
-        samples, held = [], 0
-        for html in as_bytes(first.column("html")):
-            if html and held + len(html) <= SAMPLE_BYTES:
-                samples.append(html)
-                held += len(html)
         fs, root = open_fs(folder)
-        name, n = f"{root}/{uuid.uuid4().hex}.warc.zst", 0
-        with fs.open_output_stream(name, compression=None) as sink:
-            out = ArchiveWriter(sink, samples)
-            for batch in chain([first], parts):
-                for page, url, html, refers in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), as_bytes(batch.column("html")), batch.column("first_page").to_pylist(), strict=True):
-                    payload = html or b""
-                    out.add(record(page, url, payload, "response" if refers is None else "revisit", digest(payload), refers))
-                    n += 1
-        yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "n_records": [n]})
+        parts = (b for b in small_batches(batches, "html") if b.num_rows)
+        for first in parts:  # one archive a turn; the rest of it is taken from the same batches
+            samples, held = [], 0
+            for html in as_bytes(first.column("html")):
+                if html and held + len(html) <= SAMPLE_BYTES:
+                    samples.append(html)
+                    held += len(html)
+            name, n, size = f"{root}/{uuid.uuid4().hex}.warc.zst", 0, 0
+            with fs.open_output_stream(name, compression=None) as sink:
+                out = ArchiveWriter(sink, samples)
+                for batch in chain([first], parts):
+                    for page, url, html, refers in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), as_bytes(batch.column("html")), batch.column("first_page").to_pylist(), strict=True):
+                        payload = html or b""
+                        out.add(record(page, url, payload, "response" if refers is None else "revisit", digest(payload), refers))
+                        n, size = n + 1, size + len(payload)
+                    if size >= most:
+                        break
+            yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "n_records": [n]})
 
     return Workspace(spark, "warc-list").table(marked.mapInArrow(write, "file string, n_records long"), "archives")
 
@@ -256,8 +262,9 @@ def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back: one row a record, columns of SCHEMA.
 
     Null html is an empty payload and a null url is left out. Rows with a null page_id can't be named by a record id
-    and are not written. Repeated rows of one page_id are all written, and are of one type. White space in an url
-    becomes single spaces. Other columns are ignored; an empty table gives no rows.
+    and are not written. Repeated rows of one page_id are all written, with one record id; those with equal payloads are
+    of one type, others keep their own, and a revisit of a repeated page_id refers to its rows together. White space in
+    an url becomes single spaces. Other columns are ignored; an empty table gives no rows.
     """
     folder = Workspace(pages.sparkSession, "warc-files").path("archives")
     return read_archives(pages.sparkSession, folder, write_archives(pages, folder, min_bytes))

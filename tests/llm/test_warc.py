@@ -78,3 +78,20 @@ def test_pages_against_plain(spark):
         got = [tuple(r) for r in warc.archive(frame, min_bytes).drop("url").collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.archive(frame.limit(0)).count() == 0
+
+
+def test_rows_of_one_page_id_keep_their_own_type(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "b"), (2, "b")]
+    got = warc.archive(spark.createDataFrame([(p, None, h) for p, h in rows], "page_id long, url string, html string")).collect()
+    want = [(1, "a", None), (2, "a", 1), (2, "b", None), (3, "b", 2), (3, "b", 2), (2, "b", None)]
+    assert sorted((r.page_id, r.payload_digest, str(r.refers_to)) for r in got) == sorted((p, warc.digest(h.encode()), str(f)) for p, h, f in want)
+    assert all((r.record_type == "response") == (r.refers_to is None) for r in got)
+
+
+def test_archives_have_a_size(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choice("abcdef <>") for _ in range(3_000_000))) for i in range(7)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    listed = warc.write_archives(frame, f"file://{tmp_path}/a", archive_bytes=5_000_000)
+    assert listed.agg({"n_records": "sum", "n_records": "max"}).first()[0] <= 3 and listed.count() >= 3
+    assert sorted(r.page_id for r in warc.read_archives(spark, f"file://{tmp_path}/a", listed).collect()) == list(range(7))
