@@ -26,13 +26,19 @@ from .decontam import words_of
 
 HELD_OUT = 2
 PREDICT_AT, SPAN_AT = 0.3, 0.5
-#: Bounds of the sample: labelled toxic and other training documents, bytes of one document that are learned from.
-TOXIC_MOST, OTHER_MOST, DOC_BYTES = 1500, 4500, 1 << 14
+#: Bounds of the sample: labelled toxic and other training documents, and bytes of all their texts. Texts are learned
+#: from whole; a document that does not fit into the bytes that are left is passed over.
+TOXIC_MOST, OTHER_MOST, SAMPLE_BYTES = 1500, 4500, 48 << 20
 #: A word marks toxicity if it is in MARK_DOCS of the sampled toxic documents or more and MARK_RATIO times likelier there.
 MARK_DOCS, MARK_RATIO = 5, 25.0
 #: Beginnings of words, in bytes, that are features beside the words; they carry over to words that training never saw.
 PREFIXES = (5, 6, 7, 8)
-WINDOW, WINDOWS_MOST, STEPS, CACHE_MOST = 12, 4000, 80, 400_000
+#: Words beside a marking one in a window, windows that the field is fitted to (by hash, documented bound), steps, words kept.
+WINDOW, WINDOWS_MOST, STEPS, CACHE_MOST = 12, 6000, 80, 400_000
+#: Words of a document that is not toxic for each window taken from it.
+WINDOWS_EVERY = 1000
+#: Near copies in the sample count once: texts of one label of which this share of 5-word windows is the same.
+SAME = 0.8
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -137,23 +143,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-
     return w
 
 
-def _distinct(texts: list[list[bytes]]) -> list[int]:
-    """Places of documents without the near copies of earlier ones: none shares a minimum hash of its 5-word windows."""
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for i, w in enumerate(texts):
-        grams = [b" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))]
-        marks = {(s, min(xxhash.xxh64_intdigest(g, s) for g in grams)) for s in range(3)} if w else {(0, 0)}
-        if not marks & seen:
-            kept.append(i)
-        seen |= marks
+def _distinct(texts: list[list[bytes]], labels: list[int]) -> list[int]:
+    """Places of documents without near copies (SAME or more of their 5-word windows) of kept ones of the same label.
+
+    Copies are looked for among kept documents that share one of 3 minimum hashes, and then compared window by window.
+    """
+    found: dict[tuple[int, int, int], list[int]] = {}
+    kept, sets = [], {}
+    for i, (w, y) in enumerate(zip(texts, labels, strict=True)):
+        grams = {xxhash.xxh64_intdigest(b" ".join(w[j : j + 5])) for j in range(max(1, len(w) - 4))}
+        marks = [(y, s, min((g * m) & 0xFFFFFFFFFFFFFFFF for g in grams)) for s, m in enumerate((1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))]
+        others = {k for m in marks for k in found.get(m, ())}
+        if any(len(grams & sets[k]) >= SAME * len(grams | sets[k]) for k in others):
+            continue
+        kept.append(i)
+        sets[i] = grams
+        for m in marks:
+            found.setdefault(m, []).append(i)
     return kept
 
 
 def learn(sample: list[tuple[bytes | None, int]]) -> Field:
     """Fit a field to (text, toxic 0/1) pairs. Deterministic. Without both classes every score is the toxic share."""
-    pairs = [(words_of(t)[: DOC_BYTES // 2], int(y)) for t, y in sample]
-    pairs = [pairs[i] for i in _distinct([w for w, _ in pairs])]
+    pairs = [(words_of(t), int(y)) for t, y in sample]
+    pairs = [pairs[i] for i in _distinct([w for w, _ in pairs], [y for _, y in pairs])]
     n = Counter(y for _, y in pairs)
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
     starts: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -166,20 +179,26 @@ def learn(sample: list[tuple[bytes | None, int]]) -> Field:
     telling = lambda found: {w for w, c in found[1].items() if c >= least and c >= MARK_RATIO * rate * (found[0][w] + 0.5)}
     words_, begun = telling(df), telling(starts)
     marks = words_ | {w for w in df[1] if any(b in begun for b in beginnings(w))}
+    # windows: around each marking word of toxic documents; of the others one, at a place by hash, for each WINDOWS_EVERY words
     windows: list[tuple[list[bytes], np.ndarray]] = []
     for w, y in pairs:
-        hits = [i for i, x in enumerate(w) if x in marks] if y else []
         last = -1
-        for i in hits[:8]:
+        for i in [i for i, x in enumerate(w) if x in marks] if y else []:
             if i > last:
                 part = w[max(0, i - WINDOW) : i + WINDOW + 1]
                 windows.append((part, np.array([x in marks for x in part], float)))
                 last = i + WINDOW
-        if not y and w:
-            at = zlib.crc32(w[-1]) % max(1, len(w) - 2 * WINDOW)
-            part = w[at : at + 2 * WINDOW + 1]
+        for at in range(0, 0 if y else len(w), WINDOWS_EVERY):
+            rest = w[at : at + WINDOWS_EVERY]
+            start = zlib.crc32(rest[-1]) % max(1, len(rest) - 2 * WINDOW)
+            part = rest[start : start + 2 * WINDOW + 1]
             windows.append((part, np.zeros(len(part))))
-    windows = windows[:: max(1, -(-len(windows) // WINDOWS_MOST))]
+    # over the bound: those with the smallest hashes, as many of each label as its share of all
+    for y in (0, 1):
+        mine = sorted((xxhash.xxh64_intdigest(b" ".join(p)), k) for k, (p, z) in enumerate(windows) if z.any() == y)
+        if len(mine) > WINDOWS_MOST // 2:
+            gone = {k for _, k in mine[WINDOWS_MOST // 2 :]}
+            windows = [x for k, x in enumerate(windows) if k not in gone]
     counts = Counter(x for p, _ in windows for x in p)
     begins = Counter(b for x in counts for b in beginnings(x))
     vocab = {x: i + 1 for i, x in enumerate(sorted(x for x, c in counts.items() if c >= 3 or x in words_))}
@@ -256,14 +275,27 @@ def _fit(field: Field, windows: list[tuple[list[bytes], np.ndarray]], rate: floa
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes | None, int]]:
-    """At most TOXIC_MOST toxic and OTHER_MOST other labelled documents that are not held out, in an order by hash."""
+    """Whole texts of at most TOXIC_MOST toxic and OTHER_MOST other labelled documents that are not held out, of SAMPLE_BYTES in all.
+
+    Documents are taken in an order by hash; ids and lengths of the candidates, whose number is bounded, come to the driver
+    first, so that the bytes are known before any text does.
+    """
     usable = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
     usable = usable.filter(F.crc32(F.col("_id").cast("string")) % 4 != HELD_OUT).groupBy("_id").agg(F.max("_y").alias("_y"))
     order = [F.xxhash64("_id"), F.col("_id")]
     picked = usable.filter("_y = 1").orderBy(*order).limit(TOXIC_MOST).union(usable.filter("_y = 0").orderBy(*order).limit(OTHER_MOST))
-    text = F.substring(F.col("text").cast("binary"), 1, DOC_BYTES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("t")).join(F.broadcast(picked), "_id").select("_id", "t", "_y").collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["_id"])), r["_id"], r["t"] or b""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("t"))
+    # repeated rows of one id count once, with their longest text
+    sizes = texts.select("_id", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n")).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.max("n").alias("n"), F.first("_y").alias("_y")).collect()
+    sizes.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["_id"])), r["_id"]))
+    left, chosen = SAMPLE_BYTES, {}
+    for r in sizes:
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen[r["_id"]] = r["_y"]
+    wanted = docs.sparkSession.createDataFrame(list(chosen.items()), "_id long, _y int")
+    rows = texts.join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max_by("t", F.struct(F.coalesce(F.octet_length("t"), F.lit(0)), "t")).alias("t"), F.first("_y").alias("_y")).collect()
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["_id"])), r["_id"]))
     return [(bytes(r["t"]) if r["t"] is not None else None, r["_y"]) for r in rows]
 
 
@@ -298,17 +330,20 @@ def offsets(text: bytes | None, p: np.ndarray) -> list[dict[str, int]]:
     """Code-point offsets of runs of toxic tokens."""
     if not len(p) or p.max() < SPAN_AT:
         return []
-    at, out, last = [m.span() for m in _WORD.finditer(text)], [], -2
+    at, out, last, seen, chars = [m.span() for m in _WORD.finditer(text)], [], -2, 0, 0
     for i in np.flatnonzero(p >= SPAN_AT):
-        a, b = len(text[: at[i][0]].decode()), len(text[: at[i][1]].decode())
+        a, b = at[i]
+        start = chars + len(text[seen:a].decode())
+        chars = start + len(text[a:b].decode())
+        seen = b
         if i == last + 1:
-            out[-1]["end"] = b
+            out[-1]["end"] = chars
         else:
-            out.append({"start": a, "end": b})
+            out.append({"start": start, "end": chars})
         last = i
     return out
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, with_spans: bool = False) -> DataFrame:
-    """Learn from the labelled documents that are not held out, then score every document."""
+    """Learn from the labelled documents that are not held out, then score every document; see :func:`training_sample` and :func:`score`."""
     return score(docs, learn(training_sample(docs, labels)), with_spans)

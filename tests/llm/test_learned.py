@@ -113,3 +113,27 @@ def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [0 <= r.score <= 1 for r in toxicity.score_documents(docs, labels).collect()] == [True, True]
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_finds_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.score_documents(docs, labels, with_spans=True).join(labels.filter("toxic is not null").select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    toxic, other = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in other) <= 0.01 * len(other)
+    assert sum(bool(r.spans) for r in toxic) >= 0.85 * len(toxic)
+
+
+def test_near_copies_of_one_label_count_once():
+    rng = random.Random(5)
+    words = [b"w%d" % i for i in range(900)]
+    one = [rng.choice(words) for _ in range(200)]
+    near, far = [*one[:199], b"other"], [*one[:5], *(rng.choice(words) for _ in range(195))]
+    assert toxicity._distinct([one, near, far, one, [], []], [0, 0, 0, 1, 1, 1]) == [0, 2, 3, 4]
+
+
+def test_the_sample_is_bounded_by_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x " * 50) for i in range(40)] + [(100, "y " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), 100]], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    assert [len(t) for t, _ in toxicity.training_sample(docs, labels)] == [100] * 10
