@@ -13,6 +13,7 @@ skip, and of parts by the places of their skips: what a draw gives is looked up,
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import struct
@@ -29,7 +30,7 @@ from .common import small_batches
 
 RATE, SEED = 0.1, 20_240
 #: Chunks, and parts with skips, whose ids a worker keeps (emptied when full), and the longest of them.
-CACHE_MOST, PARTS_MOST, CACHE_CHARS = 300_000, 800_000, 48
+CACHE_MOST, PARTS_MOST, CACHE_CHARS = 500_000, 800_000, 48
 NEVER = 1 << 62
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ]+| +")
@@ -275,29 +276,37 @@ def key_of(doc_id: int | None, text: str | None) -> int:
 def encode(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """(doc_id, ids array<int>, n_tokens, lossless) a row of ``docs`` (doc_id, text; other columns are ignored).
 
+    The model may not normalise texts: its pieces have to spell them as they are, which lossless checks row by row.
     Null and empty texts have no ids. lossless says that the ids decode to the text exactly (an empty one for null).
     Rows are neither moved nor joined: repeated rows and null ids (keyed by their text) stay, an empty table stays empty.
     """
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = segmenter(path, rate, seed).encode
-        back = codec(path).decode
-        for batch in small_batches(batches, "text", 4 << 20):
-            docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            raw = [of(t, key_of(d, t)) for d, t in zip(docs_, texts, strict=True)]
-            sizes = np.array([len(r) // 4 for r in raw], np.int64)
-            flat = np.frombuffer(b"".join(raw), "<i4")
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            same = [back(flat[a:b].tolist()) == (t or "") for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(sizes), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "lossless"])
+        of, back = segmenter(path, rate, seed).encode, codec(path).decode
+        gc.disable()  # the tables hold no cycles, and walking through them takes a fifth of the time
+        try:
+            for batch in small_batches(batches, "text", 4 << 20):
+                docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                raw = [of(t, key_of(d, t)) for d, t in zip(docs_, texts, strict=True)]
+                sizes = np.array([len(r) // 4 for r in raw], np.int64)
+                flat = np.frombuffer(b"".join(raw), "<i4")
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                same = [back(flat[a:b].tolist()) == (t or "") for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(sizes), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "lossless"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, lossless boolean")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) of (doc_id, ids); null ids give a null text, empty ones an empty text.
+
+    An id that the model has no piece for, or bytes that are no UTF-8, fail the job: they are no text's ids. Repeated
+    rows and null doc_ids stay; an empty table stays empty.
+    """
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
