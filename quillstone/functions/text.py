@@ -111,11 +111,18 @@ def clean_html_text(x: Text) -> Column:
 
 def drop_repeated_lines(x: Column, min_len: int = 14, min_repeats: int = 4) -> Column:
     """Lines without those that recur, bare page numbers and headings of contents."""
-    norm = F.transform(x, squeeze)
-    long = F.filter(norm, lambda n: F.char_length(n) >= min_len)
-    counts = F.map_from_entries(F.transform(F.array_distinct(long), lambda n: F.struct(n, F.size(F.filter(long, lambda m: m == n)))))
-    bound = F.transform(F.array(F.struct(norm.alias("n"), counts.alias("c"))), lambda b: F.filter(x, lambda line, i: ~((F.coalesce(F.element_at(b["c"], F.get(b["n"], i)), F.lit(0)) >= min_repeats) | line.rlike(r"\A\s*\d+\s*\z") | F.lower(strip(line)).isin("index", "contents", "table of contents"))))
-    return F.element_at(bound, 1)
+    # sorted, a line that recurs has its like min_repeats - 1 places on; the arrays are bound by one-element arrays, so
+    # that they are worked out once a text and not once a line
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    page_number, contents = r"\A\s*\d+\s*\z", ("index", "contents", "table of contents")
+
+    def kept(norm: Column) -> Column:
+        sorted_ = F.array_sort(F.filter(norm, lambda n: F.char_length(n) >= min_len))
+        often = lambda s: F.array_distinct(F.filter(s, lambda n, i: n == F.get(s, i + min_repeats - 1)))
+        gone = lambda o, line, i: F.array_contains(o, F.get(norm, i)) | line.rlike(page_number) | F.lower(strip(line)).isin(*contents)
+        return once(once(sorted_, often), lambda o: F.filter(x, lambda line, i: ~gone(o, line, i)))
+
+    return once(F.transform(x, squeeze), kept)
 
 
 def has_boilerplate(x: Text) -> Column:

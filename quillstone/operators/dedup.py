@@ -9,6 +9,10 @@ from ..functions.hashing import content_hash, duplicate_key
 from ..functions.text import ngrams, similarity_text
 
 
+#: Grams of items that may be broadcast.
+GRAMS_MOST = 1_000_000
+
+
 def first_of(docs: DataFrame, key: str, order: str) -> DataFrame:
     """(key, first, n): the smallest ``order`` of each key. Adds up before the shuffle, so hot keys cost a row a task."""
     return docs.groupBy(key).agg(F.min(order).alias("first"), F.count("*").alias("n"))
@@ -67,4 +71,6 @@ def overlap(docs: DataFrame, items: DataFrame, size: int = 3) -> DataFrame:
     grams = lambda text: F.array_distinct(ngrams(F.filter(F.split(similarity_text(text), " "), lambda w: w != ""), size))
     d = docs.select("doc_id", F.explode(grams("text")).alias("g"))
     i = items.select("item_id", F.explode(grams("text")).alias("g"))
+    if i.limit(GRAMS_MOST + 1).count() <= GRAMS_MOST:  # reads the items alone; then only grams that match are moved
+        i = F.broadcast(i)
     return d.join(i, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def upsert(state: DataFrame, delta: DataFrame, key: str, keep: list[str]) -> DataFrame:
@@ -38,18 +43,40 @@ def changes(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFram
     return rows.withColumn("outcome", F.when(first, "new").when(before.eqNullSafe(F.col(value)), "unchanged").otherwise("changed"))
 
 
-def revisions(attempts: DataFrame, key: str, expected: str, order: str) -> DataFrame:
-    """Adds accepted and revision: a save counts only if it expects the number of saves that counted before.
+def fold(rows: DataFrame, key: str, order: str, columns: list[str], start: tuple, step: Callable[[tuple, tuple], tuple], schema: str, every: bool = False) -> DataFrame:
+    """Sequential fold of each key's rows in their order, as a stream: a task holds one state, whatever a key's size.
 
-    The fold is sequential in a key's attempts, which are one session's.
+    ``step`` takes the state and a row's ``columns``. Gives (key, state) a key, or with ``every`` (key, order, state) a
+    row; ``schema`` names and types them. Rows of a key are brought together and sorted by the shuffle, which spills.
     """
-    steps = F.array_sort(F.collect_list(F.struct(order, expected)))
-    start = F.struct(F.lit(0).alias("rev"), F.array().cast("array<struct<o:bigint,a:boolean,r:int>>").alias("out"))
+    names = [key, order, *columns]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, open_ = None, start, False
+        for batch in batches:
+            out = []
+            for k, at, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if not open_ or k != now:
+                    if open_ and not every:
+                        out.append((now, *state))
+                    now, state, open_ = k, start, True
+                state = step(state, tuple(row))
+                if every:
+                    out.append((k, at, *state))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
+        if open_ and not every:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((now, *state), arrow, strict=True)], schema=arrow)
+
+    return rows.select(*names).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+
+
+def revisions(attempts: DataFrame, key: str, expected: str, order: str) -> DataFrame:
+    """(key, order, accepted, revision): a save counts only if it expects the number of saves that counted before."""
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = x[expected] == acc["rev"]
-        rev = acc["rev"] + ok.cast("int")
-        return F.struct(rev.alias("rev"), F.concat(acc["out"], F.array(F.struct(x[order].cast("long").alias("o"), ok.alias("a"), rev.alias("r")))).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple:
+        ok = row[0] == state[1]
+        return ok, state[1] + ok
 
-    folded = attempts.groupBy(key).agg(F.aggregate(steps, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(key, F.inline("out").alias(order, "accepted", "revision"))
+    kinds = dict(attempts.dtypes)
+    return fold(attempts, key, order, [expected], (False, 0), step, f"{key} {kinds[key]}, {order} {kinds[order]}, accepted boolean, revision int", every=True)

@@ -15,6 +15,7 @@ from ..catalog import Tables, query
 from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import runtime
+from ..operators import state as ST
 from ..sources import files
 from ..streaming import checkpoint_dir
 
@@ -25,15 +26,14 @@ UNION ALL SELECT a.user_id, a.r, CASE a.event_type WHEN 'click' THEN greatest(0,
 SELECT user_id, arg_max(hp, r) AS hp, max(gold) AS gold, max(r) AS revision FROM f GROUP BY user_id""")
 def session_fold(t: Tables) -> DataFrame:
     """Deterministic fold of each session's actions over its state: damage down to 0, rest up to 20, gold."""
-    steps = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))  # one session's actions
-    start = F.struct(F.lit(20).alias("hp"), F.lit(0).alias("gold"), F.lit(0).cast("long").alias("n"))
 
-    def act(s: F.Column, a: F.Column) -> F.Column:
-        kind = a["event_type"]
-        hp = F.when(kind == "click", F.greatest(F.lit(0), s["hp"] - 3)).when((kind == "view") & (s["n"] > 0), F.least(F.lit(20), s["hp"] + 1)).otherwise(s["hp"])
-        return F.struct(hp.alias("hp"), (s["gold"] + (kind == "purchase").cast("int")).alias("gold"), (s["n"] + 1).alias("n"))
+    def act(state: tuple, row: tuple) -> tuple:
+        hp, gold, n = state
+        kind = row[0]
+        hp = max(0, hp - 3) if kind == "click" else min(20, hp + 1) if kind == "view" and n else hp
+        return hp, gold + (kind == "purchase"), n + 1
 
-    return t.events.groupBy("user_id").agg(F.aggregate(steps, start, act).alias("s")).select("user_id", "s.hp", "s.gold", F.col("s.n").alias("revision"))
+    return ST.fold(t.events, "user_id", "event_id", ["event_type"], (20, 0, 0), act, "user_id long, hp int, gold int, revision long")
 
 
 @query("SELECT event_id, abs(event_id % 9 - user_id % 9) AS distance, abs(event_id % 9 - user_id % 9) <= 4 AS legal, CASE WHEN abs(event_id % 9 - user_id % 9) <= 4 THEN event_id % 9 ELSE user_id % 9 END AS slot FROM events")

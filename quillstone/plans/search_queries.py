@@ -43,7 +43,8 @@ def cosine_topk(t: Tables) -> DataFrame:
 
 
 def _both(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return search.bm25(t.documents, t.benchmark, "item_id", 5), search.cosine(t.documents, t.benchmark, "item_id", 5)
+    posts = search.Postings(t.documents, t.benchmark, "item_id")
+    return posts.bm25(5), posts.cosine(5)
 
 
 @query(_BASE + ", h AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM (SELECT query_id, doc_id, score * 0.6 AS s FROM bm UNION ALL SELECT query_id, doc_id, score * 0.4 FROM co) GROUP BY ALL) " + _top("h", "score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
 from ..functions import hashing as H
+from ..operators import ranges
 from ..operators import state as ST
 
 
@@ -121,9 +122,10 @@ def record_sizes(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(median(value), 6) AS p50, list_sort(list(value))[(0.95 * count(*))::INT + CASE WHEN (0.95 * count(*))::INT > 0.95 * count(*) THEN 0 ELSE 1 END] AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(t: Tables) -> DataFrame:
-    ranked = t.events.select("event_type", "value").withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("event_type")))
-    at = F.floor(0.95 * F.col("n"))
-    return ranked.groupBy("event_type").agg(F.first("n").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.max(F.when(F.col("r") == at, F.col("value"))).alias("p95"))
+    n = F.col("n")
+    at = {"low": F.floor((n - 1) / 2), "high": F.ceil((n - 1) / 2), "p95": F.floor(0.95 * n)}
+    found = ranges.values_at(t.events, "event_type", "value", at)
+    return found.select("event_type", "n", F.round((F.col("low") + F.col("high")) / 2, 6).alias("p50"), "p95")
 
 
 @query("SELECT event_type, user_id % 5 AS prompt, count(*) AS n, round(avg((value > 20)::INT), 6) AS pass_rate, bool_or(value < 1) AS degraded FROM events GROUP BY ALL")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
 from ..functions import html as HT
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import ranges
 
 _TRACK = ", ".join(f"'{k}'" for k in U.TRACKING)
 
@@ -208,6 +209,6 @@ def tag_filters(t: Tables) -> DataFrame:
 @query(f"WITH p AS (SELECT page_id, lower(regexp_extract(url, '{U.PARTS}', 2)) AS host, page_id * 7 % 50 AS a FROM pages), o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY a, page_id) - 1 AS i FROM p) SELECT page_id, (i * 2 + max(a - i * 2) OVER (PARTITION BY host ORDER BY i))::BIGINT AS at FROM o")
 def host_schedule(t: Tables) -> DataFrame:
     p = t.pages.select("page_id", U.host(F.col("url")).alias("host"), (F.col("page_id") * 7 % 50).alias("a"))
-    i = p.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("a", "page_id")) - 1)
-    at = F.col("i") * 2 + F.max(F.col("a") - F.col("i") * 2).over(Window.partitionBy("host").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return i.select("page_id", at.cast("long").alias("at"))
+    placed = ranges.places(p, "host", F.col("a") * 1e12 + F.col("page_id"), ["a", "page_id"])
+    late = ranges.running_max(placed, "host", F.col("a") - F.col("i") * 2, "late")
+    return late.select("page_id", (F.col("i") * 2 + F.col("late")).cast("long").alias("at"))
