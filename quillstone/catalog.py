@@ -38,6 +38,11 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return register
 
 
+def sql_of(f: Callable[[Tables], DataFrame]) -> str:
+    """The SQL of a query that is registered already, for another that has to give the same rows."""
+    return _SQL[f.__name__]
+
+
 def _load() -> None:
     from . import plans
 

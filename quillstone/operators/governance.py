@@ -7,10 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Licence and rights vocabularies, and the fields each stage must have.
-LICENSE_URL_NEEDED = ("CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "OGL-1.0a", "public-domain", "MIT", "Apache-2.0")
-ATTRIBUTION_NEEDED = ("CC-BY-4.0", "CC-BY-SA-4.0", "OGL-1.0a", "MIT", "Apache-2.0")
-SHARE_ALIKE = ("CC-BY-SA-4.0",)
+# Licence, rights, source and review vocabularies.
+LICENSE_URL_NEEDED = ("license-grants-training", "license-grants-retrieval", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "ogl-1.0a", "public-domain")
+ATTRIBUTION_NEEDED = ("license-grants-training", "license-grants-retrieval", "cc-by-4.0", "cc-by-sa-4.0", "ogl-1.0a")
+SHARE_ALIKE = ("cc-by-sa-4.0",)
+TRAINING_LICENSES = ("owned", "license-grants-training", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "public-domain", "user-consent")
+TRAINING_RIGHTS = ("owned-by-jester", "explicit-training-license", "open-license", "public-domain", "user-opt-in")
+RETRIEVAL_LICENSES = (*TRAINING_LICENSES, "license-grants-retrieval", "ogl-1.0a")
+RETRIEVAL_RIGHTS = (*TRAINING_RIGHTS, "explicit-retrieval-license", "internal-use-only")
+WEB_TYPES = ("website", "api", "html")
+ARTIFACT_TYPES = ("pdf", "text", "jsonl", "internal_doc", "licensed_dataset")
+CONSENT_TYPES = ("user_upload", "campaign_log")
+PROPRIETARY_FAMILIES = ("dnd_official", "dnd_fan")
 REVIEW = ("approved", "pending_review", "rejected", "quarantined")
 
 Rules = list[tuple[str, Column]]

@@ -11,7 +11,7 @@ from ..operators import governance as G
 from .text_queries import NOISY_SQL, noisy
 
 #: A manifest for each source, made from the source's number alike in both engines.
-_MANIFEST = """m AS (SELECT source, substr(source, 4)::INT AS i, ['CC-BY-4.0', 'unknown', 'owned', 'CC-BY-SA-4.0', 'CC0-1.0'][i % 5 + 1] AS license, CASE i % 7 WHEN 3 THEN '' ELSE 'license' END AS rights_basis,
+_MANIFEST = """m AS (SELECT source, substr(source, 4)::INT AS i, ['cc-by-4.0', 'unknown', 'owned', 'cc-by-sa-4.0', 'cc0-1.0'][i % 5 + 1] AS license, CASE i % 7 WHEN 3 THEN '' ELSE 'license' END AS rights_basis,
  i % 2 = 0 AS allowed_for_training, i % 3 <> 2 AS allowed_for_rag, ['training_and_retrieval', 'retrieval_only', 'neither'][i % 3 + 1] AS eligibility_class, i % 4 = 0 AS attribution_required, CASE i % 8 WHEN 0 THEN 'by us' ELSE ' ' END AS attribution_text,
  i % 5 = 3 AS share_alike_required, CASE i % 6 WHEN 5 THEN 'odd' ELSE 'approved' END AS review_status, CASE i % 5 WHEN 1 THEN 'quarantined' ELSE 'active' END AS status, i % 9 = 4 AS removal_required, CASE i % 2 WHEN 0 THEN 'http://l' END AS license_url
  FROM (SELECT DISTINCT source FROM documents))"""
@@ -22,16 +22,12 @@ def _manifests(t: Tables) -> DataFrame:
     pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), i % len(xs) + 1)
     m = t.documents.select("source").distinct().withColumn("i", F.expr("try_cast(substr(source, 4) AS int)"))
     return m.withColumns({
-        "license": pick("CC-BY-4.0", "unknown", "owned", "CC-BY-SA-4.0", "CC0-1.0"), "rights_basis": F.when(i % 7 == 3, "").otherwise("license"), "allowed_for_training": i % 2 == 0, "allowed_for_rag": i % 3 != 2,
+        "license": pick("cc-by-4.0", "unknown", "owned", "cc-by-sa-4.0", "cc0-1.0"), "rights_basis": F.when(i % 7 == 3, "").otherwise("license"), "allowed_for_training": i % 2 == 0, "allowed_for_rag": i % 3 != 2,
         "eligibility_class": pick("training_and_retrieval", "retrieval_only", "neither"), "attribution_required": i % 4 == 0, "attribution_text": F.when(i % 8 == 0, "by us").otherwise(" "),
         "share_alike_required": i % 5 == 3, "review_status": F.when(i % 6 == 5, "odd").otherwise("approved"), "status": F.when(i % 5 == 1, "quarantined").otherwise("active"), "removal_required": i % 9 == 4, "license_url": F.when(i % 2 == 0, "http://l"),
     })
 
 
-def _in(x: str, vs: tuple[str, ...]) -> str:
-    return f"{x} IN ({', '.join(repr(v) for v in vs)})"
-
-
 _CLASS = "CASE WHEN allowed_for_training AND allowed_for_rag THEN 'training_and_retrieval' WHEN NOT allowed_for_training AND allowed_for_rag THEN 'retrieval_only' WHEN NOT allowed_for_training AND NOT allowed_for_rag THEN 'neither' ELSE 'invalid' END"
 _UNKNOWN = "(license IN ('', 'unknown') OR rights_basis IN ('', 'unknown'))"
 
@@ -41,9 +37,9 @@ def _errors(*rules: tuple[str, str]) -> str:
 
 
 _MANIFEST_ERRORS = _errors(
-    ("class", f"eligibility_class <> {_CLASS}"), ("review_status", f"NOT {_in('review_status', G.REVIEW)}"), ("unknown_rights_class", f"{_UNKNOWN} AND eligibility_class <> 'neither'"), ("unknown_rights_status", f"{_UNKNOWN} AND status <> 'quarantined'"),
-    ("license_url", f"{_in('license', G.LICENSE_URL_NEEDED)} AND license_url IS NULL"), ("attribution_flag", f"{_in('license', G.ATTRIBUTION_NEEDED)} AND NOT attribution_required"), ("attribution_text", "attribution_required AND trim(attribution_text) = ''"),
-    ("share_alike", f"{_in('license', G.SHARE_ALIKE)} AND NOT share_alike_required"),
+    ("class", f"eligibility_class <> {_CLASS}"), ("review_status", f"NOT review_status IN ('approved', 'pending_review', 'rejected', 'quarantined')"), ("unknown_rights_class", f"{_UNKNOWN} AND eligibility_class <> 'neither'"), ("unknown_rights_status", f"{_UNKNOWN} AND status <> 'quarantined'"),
+    ("license_url", f"license IN ('license-grants-training', 'license-grants-retrieval', 'cc0-1.0', 'cc-by-4.0', 'cc-by-sa-4.0', 'ogl-1.0a', 'public-domain') AND license_url IS NULL"), ("attribution_flag", f"license IN ('license-grants-training', 'license-grants-retrieval', 'cc-by-4.0', 'cc-by-sa-4.0', 'ogl-1.0a') AND NOT attribution_required"), ("attribution_text", "attribution_required AND trim(attribution_text) = ''"),
+    ("share_alike", f"license = 'cc-by-sa-4.0' AND NOT share_alike_required"),
 )
 
 
@@ -131,14 +127,14 @@ def record_validation(t: Tables) -> DataFrame:
 
 
 _OUT = _errors(
-    ("empty_output", "trim(text) = ''"), ("path_leakage", "regexp_matches(text, '(?i)\\b[a-z]:[\\\\/][^\\s]+')"), ("filename_leakage", f"regexp_matches(text, '{T.FILE_NAME}')"), ("url_leakage", "regexp_matches(text, '(?i)\\b(?:https?://|www\\.)\\S+\\b')"),
+    ("empty_output", "trim(text) = ''"), ("path_leakage", "(regexp_matches(text, '(?i)\\b[a-z]:[\\\\/][^\\s]+') OR regexp_matches(text, '(^|[^:/.\\w-])(?:/[^/\\s]+){2,}'))"), ("filename_leakage", f"regexp_matches(text, '{T.FILE_NAME}')"), ("url_leakage", "regexp_matches(text, '(?i)\\b(?:https?://|www\\.)\\S+\\b')"),
     ("tooling_leakage", "regexp_matches(text, '(?i)\\b(?:manifest|pipeline|watchdog)\\b')"), ("anachronism", "regexp_matches(text, '(?i)\\b(?:email|google|internet|laptop|podcast|smartphone|streaming|usb|wi-fi|wifi)\\b')"),
 )
 
 
-@query(f"WITH n AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' the wifi manifest ' ELSE '' END AS text FROM ({NOISY_SQL})) SELECT doc_id, {_OUT} AS errors FROM n")
+@query(f"WITH n AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' the wifi manifest ' WHEN 1 THEN ' in /var/data/run ' ELSE '' END AS text FROM ({NOISY_SQL})) SELECT doc_id, {_OUT} AS errors FROM n")
 def output_validation(t: Tables) -> DataFrame:
-    x = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " the wifi manifest ").otherwise(""))
+    x = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " the wifi manifest ").when(F.col("doc_id") % 3 == 1, " in /var/data/run ").otherwise(""))
     rules = [
         ("empty_output", F.trim(x) == ""), ("path_leakage", x.rlike(r"(?i)\b[a-z]:[\\/][^\s]+|(?<![:/.\w-])(?:/[^/\s]+){2,}")), ("filename_leakage", x.rlike(T.FILE_NAME)), ("url_leakage", x.rlike(r"(?i)\b(?:https?://|www\.)\S+\b")),
         ("tooling_leakage", x.rlike(r"(?i)\b(?:manifest|pipeline|watchdog)\b")), ("anachronism", x.rlike(r"(?i)\b(?:email|google|internet|laptop|podcast|smartphone|streaming|usb|wi-fi|wifi)\b")),
@@ -167,9 +163,10 @@ def watchdog_checks(t: Tables) -> DataFrame:
     return rows.select("name", "bad", F.when(F.col("bad") == 0, "INFO").when(F.col("bad") * 10 > F.col("n"), "ERROR").otherwise("WARN").alias("level"))
 
 
-@query("SELECT substr(sha1(text), 1, 16) AS prompt_hash, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL HAVING count(*) >= 3")
+@query("SELECT substr(sha1(lower(string_split(text, ' ')[1])), 1, 16) AS prompt_hash, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL HAVING count(*) >= 3")
 def prompt_buckets(t: Tables) -> DataFrame:
-    return t.conversations.filter("role = 'user'").groupBy(F.substring(F.sha1("text"), 1, 16).alias("prompt_hash")).agg(F.count("*").alias("n")).filter("n >= 3")
+    """Prompts that come back, by their opening: here the first word."""
+    return t.conversations.filter("role = 'user'").groupBy(F.substring(F.sha1(F.lower(F.split("text", " ")[0])), 1, 16).alias("prompt_hash")).agg(F.count("*").alias("n")).filter("n >= 3")
 
 
 @query("SELECT doc_id, length(text) >= 20 AND lang IN ('en', 'de', 'fr') AND regexp_matches('sha256:' || sha256(text), '^sha256:[a-f0-9]{64}$') AS valid FROM documents")
