@@ -7,7 +7,7 @@ document. So each occurrence of a word draws anew, a document always gets the sa
 model's own. Dropout never changes what the pieces spell, so decoding gives back the text whatever was skipped.
 
 Chunks are runs of spaces with the characters after them, cut at line ends: no piece spans two of them. A chunk is cut
-further between characters that are neighbours in no piece. Bounded tables per worker keep the ids of chunks without a
+further between characters that are neighbours in no piece. Bounded tables of a task keep the ids of chunks without a
 skip, and of parts by the places of their skips: what a draw gives is looked up, the draw itself is not kept.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 RATE, SEED = 0.1, 20_240
-#: Chunks, and parts with skips, whose ids a worker keeps (emptied when full), and the longest of them.
-CACHE_MOST, PARTS_MOST, CACHE_CHARS = 500_000, 800_000, 48
+#: Chunks, and parts with skips, whose ids a task keeps (emptied when full), and the longest of them.
+CACHE_MOST, PARTS_MOST, CACHE_CHARS = 400_000, 600_000, 48
 NEVER = 1 << 62
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ]+| +")
@@ -154,13 +154,17 @@ def gaps_of(rate: float, key: int, block: int) -> Iterator[int]:
 
 
 class Segmenter(dict):
-    """Chunk -> ids, candidates and parts without a skip; ids and candidates of parts by their skips are kept beside it."""
+    """Chunk -> ids and candidates without a skip, and parts (none listed for one part); ids and candidates of parts by their skips are kept beside it."""
 
     def __init__(self, codec: PieceCodec, rate: float, key: int):
         self.codec, self.rate, self.key = codec, rate, key
         self.of_part: dict[tuple, tuple[bytes, int]] = {}
         self.literal = struct.pack("<3i", *(codec.byte_id[b] for b in SPACE.encode()))
 
+    def forget(self) -> None:
+        self.clear()
+        self.of_part.clear()
+
     def _parts(self, chunk: str) -> list[str]:
         # a U+2581 of the text itself goes by bytes, else it would decode to a space; it is the empty part
         parts: list[str] = []
@@ -169,11 +173,13 @@ class Segmenter(dict):
             parts += self.codec.parts(run.replace(" ", SPACE)) if run else []
         return parts
 
-    def _chunk(self, chunk: str, parts: list[str] | None, left: int, gaps: Iterator[int], out: list[bytes]) -> int:
-        """Append the ids of a chunk that is not kept, or of which candidates are skipped; merges left before the next skip."""
+    def _chunk(self, chunk: str, parts: tuple[str, ...] | list[str] | None, left: int, gaps: Iterator[int], out: list[bytes]) -> int:
+        """Append the ids of a chunk that is not kept (its parts are None), or of which candidates are skipped; merges left before the next skip."""
         new = parts is None
         if new:
             parts = self._parts(chunk)
+        elif not parts:  # it is one part
+            return self._part(chunk.replace(" ", SPACE), left, gaps, out)
         for part in parts:
             if part:
                 left = self._part(part, left, gaps, out)
@@ -184,7 +190,7 @@ class Segmenter(dict):
             if all(plain):
                 if len(self) >= CACHE_MOST:
                     self.clear()
-                self[chunk] = b"".join([ids for ids, _ in plain]), sum([n for _, n in plain]), parts
+                self[chunk] = b"".join([ids for ids, _ in plain]), sum([n for _, n in plain]), () if len(parts) == 1 and parts[0] else tuple(parts)
         return left
 
     def _part(self, part: str, left: int, gaps: Iterator[int], out: list[bytes]) -> int:
@@ -283,7 +289,8 @@ def encode(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: i
     path = path or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, back = segmenter(path, rate, seed).encode, codec(path).decode
+        kept = segmenter(path, rate, seed)
+        of, back = kept.encode, codec(path).decode
         gc.disable()  # the tables hold no cycles, and walking through them takes a fifth of the time
         try:
             for batch in small_batches(batches, "text", 4 << 20):
@@ -297,6 +304,7 @@ def encode(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: i
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(sizes), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "lossless"])
         finally:
             gc.enable()
+            kept.forget()  # an idle worker should not hold the memory that others need
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, lossless boolean")
 
