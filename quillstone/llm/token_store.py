@@ -23,7 +23,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -247,8 +246,3 @@ def store_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
     """Write ``docs`` to shards in the shared folder and read them back; see :func:`read_shards`. Empty table: no rows."""
     folder = Workspace(docs.sparkSession, "ids").path("shards")
     return read_shards(docs.sparkSession, folder, write_shards(docs, folder, path, end_id))
-
-
-def local_reader(file: str) -> ShardReader:
-    """Reader of a shard in a local folder."""
-    return ShardReader(pafs.LocalFileSystem().open_input_file(file))
