@@ -151,10 +151,12 @@ def _distinct(texts: list[list[bytes]], labels: list[int]) -> list[int]:
     found: dict[tuple[int, int, int], list[int]] = {}
     kept, sets = [], {}
     for i, (w, y) in enumerate(zip(texts, labels, strict=True)):
-        grams = {xxhash.xxh64_intdigest(b" ".join(w[j : j + 5])) for j in range(max(1, len(w) - 4))}
-        marks = [(y, s, min((g * m) & 0xFFFFFFFFFFFFFFFF for g in grams)) for s, m in enumerate((1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))]
+        n = max(1, len(w) - 4)
+        grams = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[j : j + 5])) for j in range(n)), np.uint64, n))
+        marks = [(y, s, int((grams * np.uint64(m)).min())) for s, m in enumerate((1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))]
         others = {k for m in marks for k in found.get(m, ())}
-        if any(len(grams & sets[k]) >= SAME * len(grams | sets[k]) for k in others):
+        shared = {k: len(np.intersect1d(grams, sets[k], assume_unique=True)) for k in others}
+        if any(same >= SAME * (len(grams) + len(sets[k]) - same) for k, same in shared.items()):
             continue
         kept.append(i)
         sets[i] = grams
@@ -165,7 +167,8 @@ def _distinct(texts: list[list[bytes]], labels: list[int]) -> list[int]:
 
 def learn(sample: list[tuple[bytes | None, int]]) -> Field:
     """Fit a field to (text, toxic 0/1) pairs. Deterministic. Without both classes every score is the toxic share."""
-    pairs = [(words_of(t), int(y)) for t, y in sample]
+    one: dict[bytes, bytes] = {}  # one object a word, whatever the number of its places
+    pairs = [([one.setdefault(w, w) for w in words_of(t)], int(y)) for t, y in sample]
     pairs = [pairs[i] for i in _distinct([w for w, _ in pairs], [y for _, y in pairs])]
     n = Counter(y for _, y in pairs)
     df: dict[int, Counter] = {0: Counter(), 1: Counter()}
