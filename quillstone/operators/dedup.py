@@ -39,8 +39,8 @@ def near_duplicates(docs: DataFrame, at_least: float = 0.8, size: int = 5) -> Da
     """(doc_id, class_id, n_links): documents of equal shingle sets are a class, named by its smallest doc_id.
 
     n_links is the number of other classes with a Jaccard similarity of ``at_least``. Exact: two such sets share one of
-    the rarest (1 - at_least) share of their shingles, so only those are joined, under the length filter, and each pair
-    is verified. Common shingles are never joined, copies never expanded, and sets without shingles have no links.
+    the rarest (1 - at_least) share of their shingles, so only those are joined, filtered by length and place, and each
+    pair is verified. Common shingles are never joined, copies never expanded, and sets without shingles have no links.
     """
     rows = shingle_classes(docs, size)
     member = rows.select("doc_id", "key")
@@ -50,9 +50,12 @@ def near_duplicates(docs: DataFrame, at_least: float = 0.8, size: int = 5) -> Da
     keep = (n - F.ceil(n * at_least) + 1).cast("int")
     rare = classes.select("class_id", n.alias("n"), keep.alias("keep"), F.explode("shingles").alias("s")).join(df, "s")
     ranked = rare.groupBy("class_id", "n", "keep").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # one set's shingles
-    prefix = ranked.select("class_id", "n", F.explode(F.slice("o", F.lit(1), F.col("keep"))).alias("p")).filter("p.df > 1").select("class_id", "n", F.col("p.s").alias("s"))
+    prefix = ranked.select("class_id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("keep"))).alias("i", "p")).filter("p.df > 1").select("class_id", "n", "i", F.col("p.s").alias("s"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.class_id") < F.col("b.class_id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * at_least)
+    # by length, and by place: what can still be shared from the first common shingle on has to be enough; a pair is
+    # found at each of its common shingles, so no link is lost where a later one fails
+    enough = F.ceil(at_least / (1 + at_least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    fits = (F.col("a.class_id") < F.col("b.class_id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * at_least) & (1 + F.least(F.col("a.n") - 1 - F.col("a.i"), F.col("b.n") - 1 - F.col("b.i")) >= enough)
     pairs = a.join(b, F.col("a.s") == F.col("b.s")).filter(fits).select(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).distinct()
     sets = classes.select("class_id", "shingles")
     full = pairs.join(sets.select(F.col("class_id").alias("x"), F.col("shingles").alias("xs")), "x").join(sets.select(F.col("class_id").alias("y"), F.col("shingles").alias("ys")), "y")
