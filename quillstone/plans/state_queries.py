@@ -203,10 +203,13 @@ def session_listing(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn")).filter("turns > 2")
 
 
-@query("WITH q AS (SELECT n_nationkey, lower(n_name) AS n FROM nation), c AS (SELECT c_custkey, lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) AS m, lower(c_name) AS cn FROM customer WHERE c_custkey <= 50) SELECT n_nationkey, c_custkey FROM q, c WHERE n = m OR contains(n, substr(m, 1, 2)) OR contains(m, n) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY (n = m) DESC, c_custkey) = 1")
+@query("WITH q AS (SELECT n_nationkey, lower(n_name) AS n FROM nation), c AS (SELECT c_custkey, CASE c_custkey % 13 WHEN 1 THEN 'nation_' || (c_custkey % 30) WHEN 2 THEN 'the nation_' || (c_custkey % 11) ELSE lower(regexp_replace(c_mktsegment, '[^A-Za-z]', '', 'g')) END AS m FROM customer) SELECT n_nationkey, c_custkey FROM q, c WHERE n = m OR contains(n, substr(m, 1, 2)) OR contains(m, n) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY (n = m) DESC, c_custkey) = 1")
 def name_resolution(t: Tables) -> DataFrame:
+    """The customer that a nation's name names best: an exact name before a part of one, then the smallest key. Some names are planted, so that there are hits."""
     q = F.broadcast(t.nation.select("n_nationkey", F.lower("n_name").alias("n")))  # 25 rows by definition
-    c = t.customer.select("c_custkey", F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", "")).alias("m"))
+    k = F.col("c_custkey")
+    planted = F.when(k % 13 == 1, F.concat(F.lit("nation_"), k % 30)).when(k % 13 == 2, F.concat(F.lit("the nation_"), k % 11))
+    c = t.customer.select("c_custkey", F.coalesce(planted, F.lower(F.regexp_replace("c_mktsegment", "[^A-Za-z]", ""))).alias("m"))
     hit = c.join(q, (F.col("n") == F.col("m")) | F.contains("n", F.substring("m", 1, 2)) | F.contains("m", "n"))
     return hit.groupBy("n_nationkey").agg(F.min_by("c_custkey", F.struct(F.col("n") != F.col("m"), "c_custkey")).alias("c_custkey"))
 
