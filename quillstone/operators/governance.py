@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Who runs this: the name in the rights basis of texts of one's own. A deployment sets its own.
+OWNER = "operator"
 # Licence, rights, source and review vocabularies.
 LICENSE_URL_NEEDED = ("license-grants-training", "license-grants-retrieval", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "ogl-1.0a", "public-domain")
 ATTRIBUTION_NEEDED = ("license-grants-training", "license-grants-retrieval", "cc-by-4.0", "cc-by-sa-4.0", "ogl-1.0a")
 SHARE_ALIKE = ("cc-by-sa-4.0",)
 TRAINING_LICENSES = ("owned", "license-grants-training", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "public-domain", "user-consent")
-TRAINING_RIGHTS = ("owned-by-jester", "explicit-training-license", "open-license", "public-domain", "user-opt-in")
+TRAINING_RIGHTS = (f"owned-by-{OWNER}", "explicit-training-license", "open-license", "public-domain", "user-opt-in")
 RETRIEVAL_LICENSES = (*TRAINING_LICENSES, "license-grants-retrieval", "ogl-1.0a")
 RETRIEVAL_RIGHTS = (*TRAINING_RIGHTS, "explicit-retrieval-license", "internal-use-only")
 WEB_TYPES = ("website", "api", "html")

@@ -39,7 +39,7 @@ def _codes(rules: G.Rules, name: str = "errors"):
 _BOOL = ("true", "false", None)
 _MANIFEST = {
     "license": _pick(1, "cc-by-4.0", "owned", "unknown", "ogl-1.0a", "cc-by-sa-4.0", "license-grants-retrieval", "odd-license", None, "public-domain"),
-    "rights_basis": _pick(3, "open-license", "owned-by-jester", "internal-use-only", "", "odd-rights"),
+    "rights_basis": _pick(3, "open-license", "owned-by-operator", "internal-use-only", "", "odd-rights"),
     "allowed_for_training": _pick(1, *_BOOL), "allowed_for_rag": _pick(2, "true", "true", "false"), "eligibility_class": _pick(5, "training_and_retrieval", "retrieval_only", "neither", "invalid", None),
     "review_status": _pick(2, "approved", "pending_review", "late"), "status": _pick(7, "active", "quarantined", "quarantined"), "attribution_required": _pick(4, *_BOOL), "attribution_text": _pick(5, "by us", " ", None),
     "share_alike_required": _pick(6, *_BOOL), "license_url": _pick(3, "http://l", None), "source_type": _pick(1, "website", "pdf", "user_upload", "text", "book"), "artifact_path": _pick(4, "a.pdf", " ", None),
@@ -54,7 +54,7 @@ _ARTIFACT, _WEB = "source_type IN ('pdf', 'text', 'jsonl', 'internal_doc', 'lice
 _REMOTE = f"({_WEB} OR {_ARTIFACT} AND artifact_urls IS NOT NULL)"
 _USER = "source_type IN ('user_upload', 'campaign_log') AND coalesce(allowed_for_training, false)"
 _SAFE = "'owned', 'license-grants-training', 'cc0-1.0', 'cc-by-4.0', 'cc-by-sa-4.0', 'public-domain', 'user-consent'"
-_SAFE_RIGHTS = "'owned-by-jester', 'explicit-training-license', 'open-license', 'public-domain', 'user-opt-in'"
+_SAFE_RIGHTS = "'owned-by-operator', 'explicit-training-license', 'open-license', 'public-domain', 'user-opt-in'"
 _MANIFEST_SQL = _sql(
     ("class", f"coalesce(eligibility_class, '') <> {_DERIVED}"), ("review_status", "review_status NOT IN ('approved', 'pending_review', 'rejected', 'quarantined')"),
     ("unknown_rights_class", f"{_KNOWN_NOT} AND coalesce(eligibility_class, '') <> 'neither'"), ("unknown_rights_status", f"{_KNOWN_NOT} AND status <> 'quarantined'"),
