@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, decontam, html_main, piece_codec, rules, simhash, substring, token_store, toxicity, warc
+from . import bpe_count, decontam, fingerprint, html_main, merkle, piece_codec, rules, simhash, spelling, substring, token_store, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), with_spans=True)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_simhash_near_dedup,
     op2_html_main_text,
@@ -67,6 +79,9 @@ OPERATORS = (
     op8_warc,
     op9_sentencepiece_codec,
     op10_toxicity,
+    op11_document_fingerprints,
+    op12_merkle_manifest,
+    op13_spelling_variants,
 )
 
 
@@ -75,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": rules.ORACLE_SQL}
+    return {"op7_quality_rules": rules.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_spelling_variants": spelling.ORACLE_SQL}
