@@ -5,6 +5,9 @@ inserted letter share the shorter one: it is a word, and a deletion of the longe
 themselves are keys of one shuffle; a window over a key gives its size, its two most frequent words and the word that
 the key itself is, from which each row knows how many neighbours it has there and the best other one. Summed by word,
 that is the whole neighbourhood. A key has a word a letter of the alphabet and place at most, so none is hot.
+
+Words are numbered by falling frequency and then by code points, so the best of some words is the least number; keys
+are 128-bit hashes, made in time linear in a word's length. What moves is numbers alone, however long a word is.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +33,8 @@ MORE = 10
 #: Words that a task adds up before it passes them on.
 KEEP_WORDS = 200_000
 _GAP = "*"  # in no word
+#: Kinds of keys.
+WORD, GAP, SHORTER = 0, 1, 2
 
 
 def _run_pattern(letters: int) -> re.Pattern[str]:
@@ -77,44 +83,92 @@ def vocabulary(docs: DataFrame, letters: int = LETTERS, times: int = TIMES, ever
     return rows.mapInArrow(_counted(letters, every), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= times)
 
 
+def _mix(letters: np.ndarray, places: np.ndarray, lane: int) -> np.ndarray:
+    """A 64-bit hash of each letter at its place."""
+    x = letters.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (places.astype(np.uint64) + np.uint64(lane << 40)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x2545F4914F6CDD1D)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_keys(words: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, kind, key of two 64-bit lanes) of the words, their wildcards and distinct deletions of ``least`` letters or more.
+
+    A key is the sum of hashes of letters at their places, so all keys of a word take time linear in its length.
+    """
+    sizes = np.array([len(w) for w in words])
+    ends = np.cumsum(sizes)
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    of = np.repeat(np.arange(len(words)), sizes)
+    places = np.arange(len(letters)) - (ends - sizes)[of]
+    # of equal letters in a row the last stands for all: without any of them the word is the same
+    cut = np.ones(len(letters), bool)
+    cut[:-1] = (letters[:-1] != letters[1:]) | (of[:-1] != of[1:])
+    cut &= sizes[of] > least
+    lanes = []
+    for lane in (0, 1):
+        here, moved = _mix(letters, places, lane), _mix(letters, places - 1, lane)
+        before, after = np.cumsum(here), np.cumsum(moved)  # modulo 2**64
+        start = np.where(ends > sizes, before[ends - sizes - 1], np.uint64(0)) if len(before) else np.zeros(len(words), np.uint64)
+        whole = before[ends - 1] - start
+        gap = _mix(np.full(len(letters), ord(_GAP)), places, lane)
+        shorter = (before - here - start[of])[cut] + (after[ends - 1][of] - after)[cut]
+        lanes.append(np.concatenate([whole, whole[of] - here + gap, shorter]))
+    kinds = np.repeat([WORD, GAP, SHORTER], [len(words), len(letters), int(cut.sum())]).astype(np.int8)
+    return np.concatenate([np.arange(len(words)), of, of[cut]]), kinds, np.stack(lanes).view(np.int64)
+
+
+def _keyed(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches((b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)), "word", 1 << 16):
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            at, kinds, keys = word_keys(batch.column("word").to_pylist(), least)
+            for s in range(0, len(at), 100_000):
+                part = slice(s, s + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0, part]), pa.array(keys[1, part]), pa.array(kinds[part]), pa.array(ids[at[part]])], ["k0", "k1", "kind", "id"])
+
+    return run
+
+
+def ranked(counts: DataFrame, work: Workspace) -> DataFrame:
+    """``counts`` (word, n) with id: of two words that of larger n, or the first in code-point order, has the smaller one."""
+    order = [F.col("n").desc(), F.col("word")]
+    return work.table(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "words")
+
+
 def neighbourhoods(words: DataFrame, least: int = LETTERS) -> DataFrame:
-    """(word, n, n_near, best struct<n, word>) of each row of ``words`` (word, n; each word once).
+    """(id, n_near, best) of each row of ``words`` (id, word; each word once): how many are one letter apart, and the least id of these.
 
-    n_near counts the words one letter apart; best is the one of largest n, the first in code-point order of equal ones.
-    ``least`` is the fewest letters that a word has, so shorter deletions meet nothing and are not made.
+    ``least`` is the fewest letters that a word has, so shorter deletions meet nothing and are not made. Words of any
+    length take time and rows in proportion to it.
     """
-    size = F.char_length("word")
-    places = F.sequence(F.lit(1), size)
-    without = lambda p: F.concat(F.substring("word", F.lit(1), p - 1), F.substring("word", p + 1, size))
-    gapped = lambda p: F.concat(F.substring("word", F.lit(1), p - 1), F.lit(_GAP), F.substring("word", p + 1, size))
-    keyed = lambda kind: lambda key: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
-    wild = F.transform(F.transform(places, gapped), keyed("gap"))
-    shorter = F.transform(F.when(size > least, F.array_distinct(F.transform(places, without))).otherwise(F.array().cast("array<string>")), keyed("shorter"))
-    own = F.array(F.struct(F.col("word").alias("key"), F.lit("word").alias("kind")))
-    rows = words.select("word", "n", F.explode(F.concat(own, wild, shorter)).alias("k")).select("k.key", "k.kind", "word", "n")
-    by_rank = Window.partitionBy("key").orderBy(F.col("n").desc(), "word").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    me = F.struct("n", "word")
-    rows = rows.select("kind", "word", "n", F.count("*").over(by_rank).alias("size"), F.first(me).over(by_rank).alias("one"), F.nth_value(me, 2).over(by_rank).alias("two"), F.max(F.when(F.col("kind") == "word", me)).over(by_rank).alias("itself"))
-    other = F.when(F.col("one.word") == F.col("word"), F.col("two")).otherwise(F.col("one"))
-    longer = F.col("kind") == "shorter"
-    rows = rows.filter((F.col("kind") == "word") | (F.col("size") > 1) & (~longer | F.col("itself").isNotNull()))
-    rows = rows.select("word", "n", F.when(longer, 1).otherwise(F.col("size") - 1).alias("c"), F.when(longer, F.col("itself")).otherwise(other).alias("b"))
-    # of equal n the first word is the best, so the order is by -n and then the word
-    best = F.min(F.when(F.col("b").isNotNull(), F.struct((-F.col("b.n")).alias("m"), F.col("b.word").alias("word"))))
-    found = rows.groupBy("word", "n").agg(F.sum("c").cast("long").alias("n_near"), best.alias("b"))
-    return found.select("word", "n", "n_near", F.when(F.col("b").isNotNull(), F.struct((-F.col("b.m")).alias("n"), F.col("b.word").alias("word"))).alias("best"))
+    rows = words.select("id", "word").mapInArrow(_keyed(least), "k0 long, k1 long, kind byte, id long")
+    by_rank = Window.partitionBy("k0", "k1").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(
+        "kind",
+        "id",
+        F.count("*").over(by_rank).alias("size"),
+        F.first("id").over(by_rank).alias("one"),
+        F.nth_value("id", 2).over(by_rank).alias("two"),
+        F.min(F.when(F.col("kind") == WORD, F.col("id"))).over(by_rank).alias("itself"),
+    )
+    longer = F.col("kind") == SHORTER  # the key is another word, if any, and this row's word is longer than it
+    rows = rows.filter((F.col("kind") == WORD) | (F.col("size") > 1) & (~longer | F.col("itself").isNotNull()))
+    other = F.when(F.col("one") == F.col("id"), F.col("two")).otherwise(F.col("one"))
+    rows = rows.select("id", F.when(longer, 1).otherwise(F.col("size") - 1).alias("c"), F.when(longer, F.col("itself")).otherwise(other).alias("best"))
+    return rows.groupBy("id").agg(F.sum("c").cast("long").alias("n_near"), F.min("best").alias("best"))
 
 
 def lead_to_roots(forms: DataFrame, most: int, work: Workspace) -> DataFrame:
-    """(word, root) for ``forms`` (word, form), whose forms are each MORE times as frequent, the largest ``most`` times.
+    """(id, root) for ``forms`` (id, form), whose forms are each MORE times as frequent, the largest ``most`` times.
 
     Roots jump to roots of roots, so chains of d links take log2(d) rounds; d follows from ``most``.
     """
     links = max(1, math.floor(math.log(max(most, 2), MORE)) + 1)
-    now = work.table(forms.select("word", F.col("form").alias("root")), "roots")
+    now = work.table(forms.select("id", F.col("form").alias("root")), "roots")
     for _ in range(math.ceil(math.log2(links)) if links > 1 else 0):
-        onward = now.select(F.col("word").alias("_word"), F.col("root").alias("_root"))
-        now = work.table(now.join(onward, F.col("root") == F.col("_word"), "left").select("word", F.coalesce("_root", "root").alias("root")), "roots")
+        onward = now.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+        now = work.table(now.join(onward, F.col("root") == F.col("_id"), "left").select("id", F.coalesce("_root", "root").alias("root")), "roots")
     return now
 
 
@@ -123,17 +177,20 @@ def variants(docs: DataFrame, letters: int = LETTERS, times: int = TIMES) -> Dat
 
     A word's form is its best neighbour, if that is at least MORE times as frequent, else null; its root is where forms
     lead in the end, itself without a form. Null texts have no words, repeated rows count again, no words give an empty
-    table. Whole texts are read, of any length; words are added up before they move.
+    table. Whole texts are read, of any length; words are added up before they move, and only numbers move after that.
     """
     work = Workspace(docs.sparkSession, "spelling")
-    words = work.table(vocabulary(docs, letters, times), "words")
-    near = neighbourhoods(words, letters)
-    formed = F.coalesce(F.col("best.n") >= MORE * F.col("n"), F.lit(False))
-    near = work.table(near.select("word", "n", "n_near", F.when(formed, F.col("best.word")).alias("form"), F.when(formed, F.col("best.n")).alias("form_n")), "near")
+    words = ranked(vocabulary(docs, letters, times), work)
+    near = words.join(neighbourhoods(words, letters), "id")
+    better = words.select(F.col("id").alias("best"), F.col("word").alias("_word"), F.col("n").alias("_n"))
+    formed = F.coalesce(F.col("_n") >= MORE * F.col("n"), F.lit(False))
+    kept = {"form_id": "best", "form": "_word", "form_n": "_n"}
+    near = near.join(better, "best", "left").select("id", "word", "n", "n_near", *[F.when(formed, F.col(v)).alias(k) for k, v in kept.items()])
+    near = work.table(near, "near")
     most = near.agg(F.max("form_n")).first()[0] or 0
-    roots = lead_to_roots(near.filter("form is not null"), most, work).withColumnRenamed("word", "_word")
-    joined = near.join(roots, F.col("word") == F.col("_word"), "left")
-    return joined.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    roots = lead_to_roots(near.filter("form_id is not null").select("id", F.col("form_id").alias("form")), most, work)
+    roots = roots.join(words.select(F.col("id").alias("root"), F.col("word").alias("_root")), "root").select("id", "_root")
+    return near.join(roots, "id", "left").select("word", "form", F.coalesce("_root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 #: The same rows with pairs of words listed, which SQL has to.
