@@ -23,7 +23,10 @@ OVER_LIMIT = 512
 CACHE_MOST = 600_000
 #: Longest chunk kept in the table.
 CACHE_BYTES = 64
-_RUN = re.compile(rb" (?:[\t-\r ]|$)")
+#: White space beyond ASCII that the tokenizer's pattern knows, as UTF-8.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: A space that may belong to a longer run of white space, before the space that a word takes along.
+_RUN = re.compile(rb" (?:[\t-\r ]|$|" + _WIDE.pattern + rb")")
 _CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 
 
@@ -91,6 +94,7 @@ class TokenCounter(dict):
 
         self.merger, self.of_piece = PairMerger(path), {}
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.wide_chunks = regex.compile(r"\s*\S+|\s+").findall
         found = b"|".join(re.escape(t.encode()) for t in sorted(self.merger.special, key=len, reverse=True))
         self.special = re.compile(b"(" + found + b")") if found else None
 
@@ -124,7 +128,8 @@ class TokenCounter(dict):
         if not text:
             return 0
         if _RUN.search(text):  # runs of white space belong to one chunk
-            return sum(map(self.__getitem__, _CHUNK.findall(text)))
+            chunks = [c.encode() for c in self.wide_chunks(text.decode())] if _WIDE.search(text) else _CHUNK.findall(text)
+            return sum(map(self.__getitem__, chunks))
         first, *rest = text.split(b" ")
         return self[first] + sum(map(self.__getitem__, [b" " + x for x in rest])) if first else sum(map(self.__getitem__, [b" " + x for x in rest]))
 

@@ -1,6 +1,7 @@
 """Token counts, token-ID shards and the piece codec against the libraries."""
 
 import io
+import itertools
 import random
 import zlib
 
@@ -34,6 +35,16 @@ def test_token_counts_match_the_library(spark):
     assert all(r.over_limit == (r.n_tokens > 512) for r in got.values()) and any(r.over_limit for r in got.values())
 
 
+def test_white_space_of_all_kinds_is_cut_as_the_library_cuts_it():
+    kinds = ["a", " ", "\n", "\xa0", "\u3000", "\x85", "\u2003", "\x1c", "'s"]
+    tok, c = Tokenizer.from_file(bpe_count.default_tokenizer()), bpe_count.TokenCounter(bpe_count.default_tokenizer())
+    rng = random.Random(9)
+    more = kinds + list("bc\u00e91.,!?\u65e5\t\r\u2028\u2029\u202f\u205f\u1680\x1f\x0b\u200b\ufeff\u180e") + ["<|endoftext|>", "don't", " the"]
+    strings = ["".join(x) for n in range(6) for x in itertools.product(kinds, repeat=n)] + ["".join(rng.choice(more) for _ in range(rng.randrange(60))) for _ in range(8000)]
+    want = [len(e.ids) for e in tok.encode_batch(strings, add_special_tokens=False)]
+    assert [c.count(t.encode()) for t in strings] == want
+
+
 def test_small_caches_change_nothing(monkeypatch):
     want = [bpe_count.TokenCounter(bpe_count.default_tokenizer()).count(t.encode()) for t in texts()]
     monkeypatch.setattr(bpe_count, "CACHE_MOST", 3)
