@@ -1,24 +1,26 @@
-"""Substring dedup on sliding spans of SPAN_WORDS words.
+"""Substring dedup on sliding spans of sentences, with their edges to the word.
 
-A run of SPAN_WORDS words found more than once, within a document or across documents, is a repeated span; its first
-place is the one with the smallest (doc_id, word). Words that a span in any other place covers are removed, so every
-repeat of SPAN_WORDS words or more goes whole, wherever in a sentence it begins or ends, and shorter ones are left alone.
-Runs of whole sentences that repeat are among these spans; by sentences alone a passage that begins or ends inside one
-would lose its edges, or be missed, so the unit that slides and goes is the word.
+A text is cut into sentences. A span is the shortest run of SPAN_SENTENCES sentences or more, from any sentence on, that
+holds SPAN_WORDS words. Every span is hashed and spans meet globally; its first place is the one with the smallest
+(doc_id, word), and sentences that a span in any other place covers are removed.
 
-A document is one text of one doc_id: rows of one doc_id with different texts are documents side by side, ordered by a
-mark (CRC-32) of the text, and equal rows are one document.
+Passages also begin and end inside sentences, or repeat a part of a single long one. So a second pass slides by words:
+runs of SPAN_WORDS words that are found more than once lose the words in all but their first place. It takes the edges
+on either side of repeated sentences and passages that hold no span, and leaves shorter repeats alone.
+
+Both passes share one candidate search. The anchor of a run of SPAN_WORDS words is the run of ANCHOR_WORDS words in it
+with the smallest hash, the last of equal ones; equal runs have equal anchors. Runs that follow each other and share an
+anchor are one segment, a row. Segments whose anchor is found once hold no repeat; spans of sentences that touch such a
+segment can't repeat and are not hashed. Of equal segments all but the first go whole. Where an anchor has different
+segments, the runs of the first of each are hashed to 128 bits and compared one by one, as spans of sentences are.
 
-Not every span is hashed. The anchor of a span is the run of ANCHOR_WORDS words in it with the smallest hash, the last
-of equal ones; equal spans have equal anchors. Spans that follow each other and share an anchor are one segment, a row.
-Segments whose anchor is found once hold no repeat. Of equal segments all but the first go whole. Where an anchor has
-different segments, the spans of the first of each are hashed to 128 bits and compared one by one.
+A document is one text of one doc_id: rows of one doc_id with different texts are documents side by side, ordered by a
+mark (64 bits) of the text, and equal rows are one document.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +32,21 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import HOT_SHARE, Workspace, as_bytes, hot_join, small_batches, whole_row
 
+SPAN_SENTENCES = 3
 SPAN_WORDS = 25
 ANCHOR_WORDS = 13
+#: What a text's columns are replaced by.
+ADDED = ("n_sentences", "n_removed", "n_words_removed")
+#: A sentence ends behind these marks and closing quotes or brackets before white space, and at the end of a line.
+_END = re.compile(rb"[.!?]+[\"')\]]*(?=[\t-\r ])|[\n\r]")
 _WORD = re.compile(rb"[^\t-\r ]+[\t-\r ]*")
 _U = np.uint64
 #: Odd multipliers of the places of a run, one row a hash.
 _TIMES = np.frombuffer(b"".join(xxhash.xxh3_64(bytes([k % 256, k // 256])).digest() for k in range(512)), "<u8").reshape(2, -1) | _U(1)
 
 
-def sentences(text: bytes) -> list[bytes]:
-    """The pieces that can go: a word each, with the white space after it; joined they are the text."""
+def pieces(text: bytes) -> list[bytes]:
+    """The words of a text with the white space after each; joined they are the text."""
     out = _WORD.findall(text)
     blank = len(text) - len(text.lstrip())
     if blank:
@@ -47,6 +54,24 @@ def sentences(text: bytes) -> list[bytes]:
     return out
 
 
+def sentence_ends(text: bytes) -> np.ndarray:
+    """How many words of the text there are up to the end of each sentence; sentences have a word at least."""
+    raw = np.frombuffer(text, np.uint8)
+    blank = (raw == 32) | (raw >= 9) & (raw <= 13)
+    starts = np.flatnonzero(~blank & np.append(True, blank[:-1])) if len(raw) else np.zeros(0, np.int64)
+    marks = np.fromiter((m.end() for m in _END.finditer(text)), np.int64)
+    ends = np.unique(np.append(np.searchsorted(starts, marks, "left"), len(starts)))
+    return ends[ends > 0]
+
+
+def sentence_spans(ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of each span."""
+    starts = np.append(0, ends[:-1])[: len(ends)]
+    last = np.maximum(np.arange(len(ends)) + SPAN_SENTENCES - 1, np.searchsorted(ends, starts + least, "left"))
+    fits = last < len(ends)
+    return starts[fits], ends[last[fits]]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
     return x ^ (x >> _U(29))
@@ -106,30 +131,51 @@ def _segment_rows(least: int):
             ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
             doc, a, b, h1, h2 = segments([t if d is not None else None for d, t in zip(ids, texts, strict=True)], least)
             ids = np.array([d or 0 for d in ids], np.int64)
-            marks = (np.array([zlib.crc32(t or b"") for t in texts], np.int64) - (1 << 31)).astype(np.int32)
+            marks = np.array([xxhash.xxh64_intdigest(t or b"", seed=42) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[doc]), pa.array(marks[doc]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["h1", "h2", "doc_id", "mark", "a", "b"])
 
     return run
 
 
+def _covered(found: list[dict], n: int) -> np.ndarray:
+    """How many of the runs that begin before each word are in one of the segments."""
+    steps = np.zeros(n + 1, np.int64)
+    for x in found:
+        steps[x["a"]] += 1
+        steps[x["b"]] -= 1
+    return np.append(0, np.cumsum(np.cumsum(steps)[:n] > 0))
+
+
 def _span_rows(least: int):
-    """(h, doc_id, mark, a) of the spans of the segments given with each text."""
+    """(h, doc_id, mark, a, b) of what may repeat in each text: spans of sentences in its segments, and runs of words of those marked ``each``."""
+
+    def packed(batch: pa.RecordBatch, i: int, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        doc, mark = batch.column("doc_id")[i].as_py(), batch.column("mark")[i].as_py()
+        for s in range(0, len(a), 200_000):
+            m = len(a[s : s + 200_000])
+            keys = pa.Array.from_buffers(pa.binary(16), m, [None, pa.py_buffer(np.ascontiguousarray(h[s : s + m]).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(m, doc, np.int64)), pa.array(np.full(m, mark, np.int64)), pa.array(a[s : s + m].astype(np.int32)), pa.array(b[s : s + m].astype(np.int32))], ["h", "doc_id", "mark", "a", "b"])
+
+    def of_text(text: bytes, found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, _ = _hashed([text])
+        covered = _covered(found, len(words))
+        a, b = sentence_spans(sentence_ends(text), least)
+        inside = covered[b - least + 1] - covered[a] == b - least + 1 - a
+        a, b = a[inside], b[inside]
+        split = text.split()
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(split[i:j]), seed=1) for i, j in zip(a, b, strict=True)), np.uint64).reshape(-1, 2)
+        at = [np.arange(x["a"], x["b"]) for x in found if x["each"]]
+        if at:
+            at = np.unique(np.concatenate(at))
+            pair = np.empty((max(len(words) - least + 1, 0), 2), np.uint64)
+            pair[:, 0], pair[:, 1] = _runs(words, least, 0), _runs(_mix(words ^ _TIMES[1, 255]), least, 1)
+            a, b, h = np.concatenate([a, at]), np.concatenate([b, at + least]), np.concatenate([h, pair[at]])
+        return h, a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 2 << 20):
-            words, ends = _hashed(as_bytes(batch.column("text")))
-            pair = np.empty((max(len(words) - least + 1, 0), 2), np.uint64)
-            pair[:, 0], pair[:, 1] = _runs(words, least, 0), _runs(_mix(words ^ _TIMES[1, 255]), least, 1)
-            at = [np.unique(np.concatenate([np.arange(x["a"], x["b"], dtype=np.int32) for x in found])) for found in batch.column("segments").to_pylist()]
-            sizes = [len(x) for x in at]
-            docs, marks = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("doc_id", "mark"))
-            flat = np.concatenate([x + ends[i] for i, x in enumerate(at)]) if at else np.zeros(0, np.int64)
-            at = np.concatenate(at) if at else np.zeros(0, np.int32)
-            for s in range(0, len(flat), 200_000):
-                raw = pa.py_buffer(np.ascontiguousarray(pair[flat[s : s + 200_000]]).tobytes())
-                m = len(flat[s : s + 200_000])
-                h = pa.Array.from_buffers(pa.binary(16), m, [None, raw]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([h, *(pa.array(x[s : s + m]) for x in (docs, marks, at))], ["h", "doc_id", "mark", "a"])
+            for i, (text, found) in enumerate(zip(as_bytes(batch.column("text")), batch.column("segments").to_pylist(), strict=True)):
+                yield from packed(batch, i, *of_text(text, found))
 
     return run
 
@@ -142,7 +188,7 @@ def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "spans")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = work.table(ids.mapInArrow(_segment_rows(least), "h1 long, h2 long, doc_id long, mark int, a int, b int"), "segments")
+    every = work.table(ids.mapInArrow(_segment_rows(least), "h1 long, h2 long, doc_id long, mark long, a int, b int"), "segments")
     often = work.table(every.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     total = max(often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
     hot = F.col("n") * HOT_SHARE >= total
@@ -156,46 +202,52 @@ def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
     whole = hot_join(found.select(key, *place, "b"), several, "h", hot, ["first"]).filter(elsewhere)
     gone = work.table(whole.select(*place, (F.col("b") + least - 1).alias("b")), "whole")
 
-    # anchors of different segments: the spans of the first of each
+    # anchors of different segments: the runs of the first of each; and spans of sentences within segments
     mixed = work.table(classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
     kinds = max(mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
     part = hot_join(classes.select("h1", "h2", "first"), mixed, "h1", F.col("n") * HOT_SHARE >= kinds, ["n"], salt=["h2"]).filter("n is not null")
-    part = part.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.mark").alias("_m")).agg(F.collect_list(F.struct("first.a", "first.b")).alias("segments"))
+    part = part.select(*[F.col("first")[c].alias(c) for c in (*place, "b")], F.lit(True).alias("each"))
+    part = part.unionByName(found.select(*place, "b", F.lit(False).alias("each")))
+    part = part.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set(F.struct("a", "b", "each")).alias("segments"))
     texts = ids.withColumn("mark", text_mark())
-    spans = texts.join(part, (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc_id", "mark", "text", "segments").mapInArrow(_span_rows(least), "h binary, doc_id long, mark int, a int")
+    spans = texts.join(part, (F.col("doc_id") == F.col("_d")) & (F.col("mark") == F.col("_m"))).select("doc_id", "mark", "text", "segments").mapInArrow(_span_rows(least), "h binary, doc_id long, mark long, a int, b int")
     spans = work.table(spans, "spans")
     first = work.table(spans.groupBy("h").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     most = max(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
     later = hot_join(spans, first, "h", F.col("n") * HOT_SHARE >= most, ["first"]).filter(elsewhere)
-    gone = gone.unionByName(later.select(*place, (F.col("a") + least).alias("b")))
+    gone = gone.unionByName(later.select(*place, "b"))
     return gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def text_mark() -> Column:
-    """CRC-32 of the text, moved into the range of an integer, as the segments have it."""
-    return (F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int")
+    """The mark of the text, as the segments have it."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def cut(text: bytes | None, pairs: list[dict] | None) -> tuple[bytes | None, int, int]:
-    """Text without the words that the spans cover; how many it has, and how many went."""
+def cut(text: bytes | None, pairs: list[dict] | None) -> tuple[bytes | None, int, int, int]:
+    """Text without the words that the spans cover; how many sentences it has, and how many sentences and words went."""
+    ends = sentence_ends(text) if text else np.zeros(0, np.int64)
     if not pairs:
-        return text, len(text.split()) if text else 0, 0
-    pieces = sentences(text) if text else []
-    gone = np.zeros(len(pieces) + 1, np.int64)
+        return text, len(ends), 0, 0
+    words = pieces(text) if text else []
+    gone = np.zeros(len(words) + 1, np.int64)
     for p in pairs:
-        gone[min(p["a"], len(pieces))] += 1
-        gone[min(p["b"], len(pieces))] -= 1
+        gone[min(p["a"], len(words))] += 1
+        gone[min(p["b"], len(words))] -= 1
     gone = np.cumsum(gone)[:-1] > 0
-    return b"".join([p for p, g in zip(pieces, gone, strict=True) if not g]).rstrip(), len(pieces), int(gone.sum())
+    before = np.append(0, np.cumsum(gone))
+    whole = int((np.diff(before[np.append(0, ends)]) == np.diff(np.append(0, ends))).sum())
+    return b"".join([p for p, g in zip(words, gone, strict=True) if not g]).rstrip(), len(ends), whole, int(gone.sum())
 
 
 def dedup(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with repeated words removed, and n_sentences and n_removed, which count words.
+    """``docs`` (doc_id, text and any others) without repeated sentences and their edges, and what went.
 
-    Null texts stay null, texts without repeats keep every byte, and texts of which all words go become empty.
-    Equal rows are one document, so they are not each other's repeats; rows of one doc_id with different texts are
-    documents side by side. Rows with a null doc_id have no place in the order and stay as they are. n_chars follows
-    the text where it changed. Columns of other names stay, whatever they are; an empty table stays empty.
+    n_sentences counts the sentences of the text, n_removed those that went whole, n_words_removed the words that went;
+    columns of ``docs`` with these names are replaced. Null texts stay null, texts without repeats keep every byte, and
+    texts of which all words go become empty. Equal rows are one document, so they are not each other's repeats; rows of
+    one doc_id with different texts are documents side by side. Rows with a null doc_id have no place in the order and
+    stay as they are. n_chars follows the text where it changed. Columns of other names stay; an empty table stays empty.
     """
     found = repeated_spans(docs, least).withColumnsRenamed({"doc_id": "_span_doc", "mark": "_span_mark"})
     packed = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("_doc"), text_mark().alias("_mark"), F.col("text").cast("string").alias("text"))
@@ -205,19 +257,20 @@ def dedup(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
         for batch in small_batches(batches, "text"):
             got = [cut(t, p) for t, p in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([None if g[0] is None or not g[2] else g[0].decode() for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())],
-                ["row", "new_text", "n_sentences", "n_removed"],
+                [batch.column("row"), pa.array([None if g[0] is None or not g[3] else g[0].decode() for g in got], pa.string()), *[pa.array([g[k] for g in got], pa.int64()) for k in (1, 2, 3)]],
+                ["row", "new_text", *ADDED],
             )
 
-    schema = StructType([packed.schema["row"], StructField("new_text", StringType()), StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
+    schema = StructType([packed.schema["row"], StructField("new_text", StringType()), *[StructField(c, LongType()) for c in ADDED]])
     out = joined.mapInArrow(run, schema)
-    changed, cols = F.col("n_removed") > 0, []
+    changed, cols = F.col("n_words_removed") > 0, []
     for c in docs.columns:
+        if c.lower() in ADDED:
+            continue
         value = F.col("row").getField(c)
         if c == "text":
             value = F.when(changed, F.col("new_text")).otherwise(value)
         elif c == "n_chars":
             value = F.when(changed, F.char_length("new_text").cast(docs.schema[c].dataType)).otherwise(value)
         cols.append(value.alias(c))
-    taken = {c.lower() for c in docs.columns}
-    return out.select(*cols, *[c for c in ("n_sentences", "n_removed") if c not in taken])
+    return out.select(*cols, *ADDED)

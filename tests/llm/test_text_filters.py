@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -26,36 +27,55 @@ def test_sentences_lose_nothing():
     rng = random.Random(0)
     for t in ["", "a", "a. b", "x" * 5000, "a " * 5000, " \n\n a.  b!\tc\n", "é. ü? ñ" * 40, *(prose(rng, 90) for _ in range(50))]:
         raw = t.encode()
-        pieces = substring.sentences(raw)
+        pieces = substring.pieces(raw)
         assert b"".join(pieces) == raw
 
 
+def plain_sentences(text):
+    """Ends of sentences in words, by splitting the text and counting."""
+    ends, n = [], 0
+    for part in re.split(r"(?<=[.!?])(?=[ \t])|(?<=[.!?][\"')\]])(?=[ \t])|[\n\r]", text):
+        n += len(part.split())
+        if n and (not ends or ends[-1] != n):
+            ends.append(n)
+    return ends
+
+
 def plain_substring(rows, least):
-    """doc_id -> (text, n_removed), span by span."""
-    seen = defaultdict(list)
-    pieces = {}
+    """doc_id -> (text, n_sentences, n_removed, n_words_removed), by spans of sentences and runs of words, one by one."""
+    seen, pieces, ends = defaultdict(list), {}, {}
     for doc, text in rows:
         if doc is None or not text:
             continue
-        p = pieces[doc] = substring.sentences(text.encode())
-        size = [len(x.split()) for x in p]
-        found = set()
-        for i in range(len(p)):
-            for j in range(i + 1, len(p) + 1):
-                if sum(size[i:j]) >= least:
-                    if size[i] and sum(size[i : j - 1]) < least or size[j - 1] and sum(size[i + 1 : j]) < least:
-                        found.add((i, j))
-                    if sum(size[i : j - 1]) >= least:
-                        break
-        for i, j in found:
-            seen[tuple(b" ".join(x.split()) for x in p[i:j])].append((doc, i, j))
+        p = pieces[doc] = substring.pieces(text.encode())
+        words, ends[doc] = text.split(), plain_sentences(text)
+        for a in range(len(words) - least + 1):
+            seen["run", tuple(words[a : a + least])].append((doc, a, a + least))
+        starts = [0, *ends[doc]]
+        for i, a in enumerate(starts[:-1]):
+            for j in range(i + substring.SPAN_SENTENCES, len(starts)):
+                if starts[j] - a >= least:
+                    seen["sentences", tuple(words[a : starts[j]])].append((doc, a, starts[j]))
+                    break
+        assert len(p) == len(words) or not words
     gone = defaultdict(set)
     for places in seen.values():
-        first = min(x[:2] for x in places)
-        for doc, i, j in places:
-            if (doc, i) != first:
-                gone[doc].update(range(i, j))
-    return {d: (b"".join(x for k, x in enumerate(p) if k not in gone[d]).rstrip().decode() if gone[d] else None, len(gone[d])) for d, p in pieces.items()}
+        first = min(places)[:2]
+        for doc, a, b in places:
+            if (doc, a) != first:
+                gone[doc].update(range(a, b))
+    out = {}
+    for d, p in pieces.items():
+        whole = sum(set(range(a, b)) <= gone[d] for a, b in zip([0, *ends[d]], ends[d]))
+        out[d] = (b"".join(x for k, x in enumerate(p) if k not in gone[d]).rstrip().decode() if gone[d] else None, len(ends[d]), whole, len(gone[d]))
+    return out
+
+
+def test_sentences_end_where_they_should():
+    for text, want in [
+        ("", []), ("  ", []), ("One.", [1]), ("One two. Three!  Four?", [2, 3, 4]), ('He said "no." Then left.', [3, 5]), ("e.g. this, v1.2 and x", [1, 5]), ("a\n\nb c\r\n", [1, 3]), (" . a", [1, 2]), ("end.) Next", [1, 2]), ("é. ü", [1, 2]),
+    ]:
+        assert substring.sentence_ends(text.encode()).tolist() == want == plain_sentences(text), text
 
 
 def test_substring_dedup_against_plain(spark):
@@ -68,7 +88,7 @@ def test_substring_dedup_against_plain(spark):
             t += rng.choice(passages)
         rows.append((i * 2, t + prose(rng, rng.choice([0, 30]))))
     rows += [(1, None), (3, ""), (None, passages[1]), (None, passages[1]), (5, rows[9][1]), (7, "x. " * 300)]
-    frame = spark.createDataFrame([(*r, 5, "k") for r in rows], "doc_id long, text string, n_chars int, spans string").repartition(3)
+    frame = spark.createDataFrame([(*r, 5, "k", -1) for r in rows], "doc_id long, text string, n_chars int, spans string, N_removed int").repartition(3)
     want = plain_substring(rows, substring.SPAN_WORDS)
     got = substring.dedup(frame).collect()
     assert len(got) == len(rows)
@@ -76,9 +96,9 @@ def test_substring_dedup_against_plain(spark):
     for doc, text in rows:
         if doc is None:
             continue
-        new, n = want.get(doc, (None, 0))
+        new, sentences, whole, n = want.get(doc, (None, 0, 0, 0))
         r = by_id[doc]
-        assert (r.text, r.n_removed) == (text if new is None else new, n), doc
+        assert (r.text, r.n_sentences, r.n_removed, r.n_words_removed) == (text if new is None else new, sentences, whole, n), doc
         assert r.n_chars == (5 if not n else len(r.text)) and r.spans == "k"
     assert [r.text for r in got if r.doc_id is None] == [passages[1]] * 2
     assert sum(r.n_removed > 0 for r in got) > 10 and by_id[18].text == ""
