@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, duplicate_key
 from ..functions.text import ngrams, similarity_text
-
+from ..shared import HOT_SHARE, Workspace, hot_join, small_batches
+from . import setjoin
 
 #: Grams of items that may be broadcast.
 GRAMS_MOST = 1_000_000
@@ -27,43 +33,52 @@ def quick_duplicates(docs: DataFrame) -> DataFrame:
     return first_of(docs.select("doc_id", duplicate_key(F.col("text")).alias("dup_key")), "dup_key", "doc_id").filter("n > 1")
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def shingles_of(text: bytes, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of ``size`` words, ascending; of fewer words all are one run."""
+    words = word_hashes(text.split())
+    n = min(size, len(words))
+    if not n:
+        return np.zeros(0, np.int64)
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        out = (out ^ words[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
 def shingle_classes(docs: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, key, shingles): hashed word shingles, sorted, and a key of equal sets. Fewer words than a shingle make one."""
-    words = F.filter(F.split(similarity_text("text"), " "), lambda w: w != "")
-    grams = F.when(F.size(words) >= size, ngrams(words, size)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    hashed = docs.select("doc_id", F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("shingles"))
-    return hashed.select("doc_id", F.sha2(F.array_join("shingles", ","), 256).alias("key"), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 2 << 20):
+            sets = [shingles_of(t.encode(), size) if t else np.zeros(0, np.int64) for t in batch.column("text").to_pylist()]
+            keys = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]
+            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), held], ["doc_id", "key", "shingles"])
+
+    return docs.select("doc_id", similarity_text("text").alias("text")).mapInArrow(run, "doc_id long, key string, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, at_least: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, class_id, n_links): documents of equal shingle sets are a class, named by its smallest doc_id.
 
-    n_links is the number of other classes with a Jaccard similarity of ``at_least``. Exact: two such sets share one of
-    the rarest (1 - at_least) share of their shingles, so only those are joined, filtered by length and place, and each
-    pair is verified. Common shingles are never joined, copies never expanded, and sets without shingles have no links.
+    n_links is the number of other classes with a Jaccard similarity of ``at_least``. Exact; see :mod:`.setjoin`. Copies
+    are never expanded, and sets without shingles have no links.
     """
-    rows = shingle_classes(docs, size)
-    member = rows.select("doc_id", "key")
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("shingles").alias("shingles"))
-    df = classes.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    n = F.size("shingles")
-    keep = (n - F.ceil(n * at_least) + 1).cast("int")
-    rare = classes.select("class_id", n.alias("n"), keep.alias("keep"), F.explode("shingles").alias("s")).join(df, "s")
-    ranked = rare.groupBy("class_id", "n", "keep").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # one set's shingles
-    prefix = ranked.select("class_id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("keep"))).alias("i", "p")).filter("p.df > 1").select("class_id", "n", "i", F.col("p.s").alias("s"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    # by length, and by place: what can still be shared from the first common shingle on has to be enough; a pair is
-    # found at each of its common shingles, so no link is lost where a later one fails
-    enough = F.ceil(at_least / (1 + at_least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    fits = (F.col("a.class_id") < F.col("b.class_id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * at_least) & (1 + F.least(F.col("a.n") - 1 - F.col("a.i"), F.col("b.n") - 1 - F.col("b.i")) >= enough)
-    pairs = a.join(b, F.col("a.s") == F.col("b.s")).filter(fits).select(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).distinct()
-    sets = classes.select("class_id", "shingles")
-    full = pairs.join(sets.select(F.col("class_id").alias("x"), F.col("shingles").alias("xs")), "x").join(sets.select(F.col("class_id").alias("y"), F.col("shingles").alias("ys")), "y")
-    shared = F.size(F.array_intersect("xs", "ys"))
-    links = full.filter(shared / (F.size("xs") + F.size("ys") - shared) >= at_least).select("x", "y")
-    counts = links.select(F.col("x").alias("class_id")).union(links.select(F.col("y").alias("class_id"))).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    named = classes.select("key", "class_id").join(counts, "class_id", "left")
-    return member.join(named, "key").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    work = Workspace(docs.sparkSession, "near-duplicates")
+    rows = work.table(shingle_classes(docs, size), "shingles")
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.min("shingles").alias("shingles"), F.count("*").alias("n_docs"))
+    classes = work.table(classes, "classes")
+    counts = setjoin.link_counts(classes.select(F.col("class_id").alias("id"), "shingles"), at_least, work)
+    named = classes.join(counts.withColumnRenamed("id", "_id"), F.col("class_id") == F.col("_id"), "left")
+    named = named.select("key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_docs")
+    size_of = rows.count()
+    return hot_join(rows.select("doc_id", "key"), named, "key", F.col("n_docs") * HOT_SHARE >= size_of, ["class_id", "n_links"]).select("doc_id", "class_id", "n_links")
 
 
 def overlap(docs: DataFrame, items: DataFrame, size: int = 3) -> DataFrame:
