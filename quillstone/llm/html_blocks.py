@@ -15,8 +15,8 @@ BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-#: Elements whose text is not shown.
-MUTE = frozenset("template noscript svg math object canvas audio video".split())
+#: Elements whose text is not shown where a page is. What stands in for a film or a drawing is read as text.
+MUTE = frozenset("template noscript svg".split())
 #: Elements whose content is no markup; but for the title it is no text of the page either.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
@@ -39,7 +39,7 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 class Block(NamedTuple):
     path: tuple[tuple[str, ...], ...]
     """Names (tag, then words of class, id and role) of the innermost elements around it, the innermost first."""
-    around: tuple[int, ...]
+    around: bytes
     """For each of AROUND how many are open (3 at most)."""
     text: str
     linked: int
@@ -57,12 +57,20 @@ class _Page:
         self.path: list[tuple[tuple[str, ...], ...]] = [()]  # path below each open element
         self.text: list[str] = []
         self.linked = self.muted = 0
-        self.around = [0] * len(AROUND)
+        self.around = bytearray(len(AROUND))  # ``many``, but 3 at most
+        self.many = [0] * len(AROUND)
+        self.same: dict = {}  # one object for all equal paths and surroundings
+
+    def count(self, tag: str, n: int) -> None:
+        at = _AROUND_AT[tag]
+        self.many[at] += n
+        self.around[at] = min(self.many[at], 3)
 
     def flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.found.append(Block(self.path[-1], tuple([min(n, 3) for n in self.around]), text, min(self.linked, len(text))))
+                around = bytes(self.around)
+                self.found.append(Block(self.path[-1], self.same.setdefault(around, around), text, min(self.linked, len(text))))
             self.text = []
         self.linked = 0
 
@@ -73,9 +81,12 @@ class _Page:
         above = self.path[-1]
         if tag in BLOCK:
             self.blocks.append(at)
-        self.path.append((names, *above[: LEVELS - 1]) if tag in BLOCK or tag == "a" or len(names) > 1 else above)
+        if tag in BLOCK or tag == "a" or len(names) > 1:
+            above = (names, *above[: LEVELS - 1])
+            above = self.same.setdefault(above, above)
+        self.path.append(above)
         if tag in _AROUND_AT:
-            self.around[_AROUND_AT[tag]] += 1
+            self.count(tag, 1)
         self.muted += tag in MUTE
 
     def close_from(self, at: int) -> None:
@@ -86,7 +97,7 @@ class _Page:
             if tag in BLOCK:
                 self.blocks.pop()
             if tag in _AROUND_AT:
-                self.around[_AROUND_AT[tag]] -= 1
+                self.count(tag, -1)
             self.muted -= tag in MUTE
 
     def start(self, tag: str, names: tuple[str, ...], ends: bool) -> None:
@@ -126,14 +137,21 @@ class _Tags:
         self.html, self.no_more = html, {'"': len(html) + 1, "'": len(html) + 1}
 
     def close_quote(self, quote: str, at: int) -> int:
-        """Place of the quote that ends a value, or -1: a quote that is not followed by the rest of a tag ends none."""
+        """Place of the quote that ends a value, or -1.
+
+        A name may follow it at once, but not where the value holds the beginning of another tag: such a quote was
+        never ended, and the one found opens another value.
+        """
         if at >= self.no_more[quote]:
             return -1
         end = self.html.find(quote, at)
         if end < 0:
             self.no_more[quote] = at
             return -1
-        return end if self.html[end + 1 : end + 2] in (" ", "\n", "\t", "\r", "\f", "/", ">") else -1
+        behind = self.html[end + 1 : end + 2]
+        if behind in (" ", "\n", "\t", "\r", "\f", "/", ">") or behind.isalpha() and self.html.find("<", at, end) < 0:
+            return end
+        return -1
 
     def read(self, at: int) -> tuple[int, list[str], bool]:
         """(end of the tag, values of class, id and role with their kind before them, whether it ends itself), from behind the tag's name."""

@@ -3,17 +3,23 @@
 A page becomes its sequence of text blocks. Each block is a vector: hashed tokens of its tag path (tag names and words of
 class, id and role of the innermost elements, the nearer the heavier, and which elements are open around it), hashed
 words of its text, and a few shapes (length, share of links, punctuation, how much of the page has the same path). A bidirectional LSTM in numpy reads the
-sequence and labels every block as main text or not with the whole page as its context. The weights are fitted here, at
-first use in a process, on pages that :mod:`.html_samples` lays out in many styles; the seed is fixed.
+sequence and labels every block as main text or not with the whole page as its context. The weights are fitted to pages
+that :mod:`.html_samples` lays out in many styles, with a fixed seed, by
+
+    python -m quillstone.llm.html_main
+
+which writes them to WEIGHTS beside this module, with a mark of what they were fitted to; other marks are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,10 @@ from .html_samples import sample_page
 PATH_DIM, WORD_DIM, SHAPES, HIDDEN = 384, 96, 10, 20
 REST = len(AROUND) + WORD_DIM + SHAPES
 DIM = PATH_DIM + REST
-TRAIN_PAGES, EPOCHS, LOT, SEED = 8000, 10, 24, 11
+TRAIN_PAGES, EPOCHS, LOT, SEED = 14000, 10, 24, 11
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
+#: Blocks whose vectors are made at once; a longer page is read in such pieces.
+PIECE = 8192
 #: An element outside of another counts this much of it in the path's vector.
 FADE = 0.8
 #: Words, names and paths whose places or vectors a process keeps (emptied when full).
@@ -62,19 +71,27 @@ def path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
     return got
 
 
-def rest_vectors(found: list[Block]) -> np.ndarray:
-    """What is around each block, its words and shapes."""
-    n, a = len(found), len(AROUND)
-    x = np.zeros((n, REST), np.float32)
-    alike: dict[tuple, list[int]] = {}  # blocks and characters of each path of the page
-    for path, _, text, _ in found:
-        got = alike.setdefault(path, [0, 0])
-        got[0] += 1
-        got[1] += len(text)
-    total = sum(got[1] for got in alike.values())
-    for i, (path, around, text, linked) in enumerate(found):
-        words = _WORD(text.lower())
-        at = []
+class Shares:
+    """How many blocks and characters of a page have each path."""
+
+    def __init__(self, found: list[Block]):
+        self.of: dict[tuple, list[int]] = {}
+        for path, _, text, _ in found:
+            got = self.of.setdefault(path, [0, 0])
+            got[0] += 1
+            got[1] += len(text)
+        self.n, self.chars = len(found), sum(got[1] for got in self.of.values())
+
+
+def rest_vectors(found: list[Block], shares: Shares | None = None, start: int = 0) -> np.ndarray:
+    """What is around each block, its words and shapes; ``found`` may be a piece of a page that begins at block ``start``."""
+    shares, m, a = shares or Shares(found), len(found), len(AROUND)
+    x = np.zeros((m, REST), np.float32)
+    if not m:
+        return x
+    at, n_words, rows = [], [], []
+    for path, _, text, linked in found:
+        words, before = _WORD(text.lower()), len(at)
         for w in words:
             k = _WORD_AT.get(w)
             if k is None:
@@ -82,10 +99,15 @@ def rest_vectors(found: list[Block]) -> np.ndarray:
                     _WORD_AT.clear()
                 k = _WORD_AT[w] = _hash(w, WORD_DIM)
             at.append(k)
-        chars = len(text)
-        x[i, :a] = around
-        x[i, a : a + WORD_DIM] = np.sqrt(np.bincount(at, minlength=WORD_DIM) / max(len(words), 1))
-        x[i, -SHAPES:] = (np.log1p(chars) / 6, linked / chars, np.log1p(len(words)) / 4, text.count(".") * 10 / chars, text.count("|") * 5 / chars, (i + 0.5) / n, 1.0 / (1 + i), 1.0 / (n - i), np.log1p(alike[path][0]) / 3, alike[path][1] / total)
+        n_words.append(len(at) - before)
+        rows.append((len(text), linked, text.count("."), text.count("|"), *shares.of[path]))
+    words = np.array(n_words)
+    counts = np.bincount(np.repeat(np.arange(m) * WORD_DIM, words) + np.array(at, np.int64), minlength=m * WORD_DIM).reshape(m, WORD_DIM)
+    x[:, :a] = np.frombuffer(b"".join([b.around for b in found]), np.uint8).reshape(m, a)
+    x[:, a : a + WORD_DIM] = np.sqrt(counts / np.maximum(words, 1)[:, None])
+    chars, linked, dots, bars, same, same_chars = np.array(rows, np.float64).T
+    place = start + np.arange(m)
+    x[:, -SHAPES:] = np.stack([np.log1p(chars) / 6, linked / chars, np.log1p(words) / 4, dots * 10 / chars, bars * 5 / chars, (place + 0.5) / shares.n, 1.0 / (1 + place), 1.0 / (shares.n - place), np.log1p(same) / 3, same_chars / shares.chars], axis=1)
     return x
 
 
@@ -145,6 +167,41 @@ class Labeller:
             tape.append(hidden)
         return hidden @ self.out[:-1] + self.out[-1]
 
+    def run_long(self, gates: Callable[[int, int], np.ndarray], n: int) -> np.ndarray:
+        """Logits of one page of any length: ``gates(a, b)`` gives the inputs to the gates of blocks a to b.
+
+        Both directions go at once, each over pieces of its own; of hidden states only their share of the logits is kept.
+        """
+        h = HIDDEN
+        order = np.concatenate([np.arange(k * h, (k + 1) * h) + side * 4 * h for k in range(4) for side in (0, 1)])  # gate by gate
+        half = np.concatenate([np.full(6 * h, 0.5), np.ones(2 * h)]).astype(np.float32)
+        u = np.zeros((2 * h, 8 * h), np.float32)
+        u[:h, : 4 * h], u[h:, 4 * h :] = self.u[0], self.u[1]
+        u = np.ascontiguousarray(u[:, order] * half * 0.5)  # states below are twice as large
+        back = np.repeat([[False, True] * 4], h, axis=1).ravel()
+        logits, s, c, more = np.full(n, self.out[-1], np.float32), np.zeros(2 * h, np.float32), np.zeros(2 * h, np.float32), np.empty(2 * h, np.float32)
+        i, f, o, new = (slice(k * 2 * h, (k + 1) * 2 * h) for k in range(4))
+        for a in range(0, n, PIECE):
+            b = min(a + PIECE, n)
+            z = gates(a, b)[:, order]
+            z[:, back] = gates(n - b, n - a)[::-1, order[back]]
+            z *= half
+            states = np.empty((b - a, 2 * h), np.float32)
+            for g, state in zip(z, states, strict=True):
+                g += s @ u
+                np.tanh(g, out=g)
+                g[: 6 * h] += 1  # twice the gate
+                np.multiply(g[i], g[new], out=more)
+                c *= g[f]
+                c += more
+                c *= 0.5
+                np.tanh(c, out=state)
+                state *= g[o]
+                s = state
+            logits[a:b] += states[:, :h] @ (self.out[:h] / 2)
+            logits[n - b : n - a] += (states[:, h:] @ (self.out[h : 2 * h] / 2))[::-1]
+        return logits
+
     def grads(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the blocks (x: their vectors, y: labels) of all pages, and its gradient for each of :meth:`params`."""
         tape: list = []
@@ -195,10 +252,28 @@ def training_set(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def recipe() -> str:
+    """A mark of what the weights are fitted to: settings, and the vectors and labels of the first sample pages."""
+    mark = hashlib.sha256(repr((PATH_DIM, WORD_DIM, SHAPES, HIDDEN, TRAIN_PAGES, EPOCHS, LOT, SEED, FADE)).encode())
+    for x, y in training_set(60, SEED):
+        mark.update(np.round(x * 1000).astype(np.int32).tobytes() + y.tobytes())
+    return mark.hexdigest()
+
+
 @lru_cache(maxsize=1)
 def labeller() -> Labeller:
-    """Fit the labeller by Adam; the same weights in every process."""
-    data = training_set(TRAIN_PAGES, SEED)
+    """The labeller with the weights of WEIGHTS."""
+    net = Labeller(np.random.default_rng(SEED))
+    with np.load(WEIGHTS) as kept:
+        if str(kept["recipe"]) != recipe():
+            raise ValueError(f"{WEIGHTS} is of other pages or settings; fit it anew: python -m {__name__}")
+        net.w, net.u, net.b, net.out = (kept[k].astype(np.float32) for k in ("w", "u", "b", "out"))
+    return net
+
+
+def fit(pages: int = TRAIN_PAGES) -> Labeller:
+    """Fit the labeller by Adam; the same weights each time."""
+    data = training_set(pages, SEED)
     rng = np.random.default_rng(SEED)
     net = Labeller(rng)
     mom, var, step = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
@@ -218,27 +293,50 @@ def labeller() -> Labeller:
     return net
 
 
+def _long_page(found: list[Block], net: Labeller) -> np.ndarray:
+    shares = Shares(found)
+
+    def gates(a: int, b: int) -> np.ndarray:
+        piece = found[a:b]
+        of: dict[tuple, int] = {}
+        which = [of.setdefault(x.path, len(of)) for x in piece]
+        near = np.array([path_vector(p) for p in of]) @ net.w[:PATH_DIM] + net.b
+        return near[which] + rest_vectors(piece, shares, a) @ net.w[PATH_DIM:]
+
+    return net.run_long(gates, len(found))
+
+
 def main_texts(htmls: list[str | None], net: Labeller) -> list[str]:
     """Main text of each page: its main blocks in page order, joined by one space."""
-    found = [blocks(h) for h in htmls]
-    order = sorted((i for i in range(len(found)) if found[i]), key=lambda i: len(found[i]))
-    out = [""] * len(found)
-    at = 0
-    while at < len(order):
-        lot, total = [], 0
-        while at < len(order) and (not lot or len(lot) < 256 and total + len(found[order[at]]) <= 8192):
-            lot.append(order[at])
-            total += len(found[order[at]])
-            at += 1
-        of: dict[tuple, int] = {}
-        which = [of.setdefault(b.path, len(of)) for i in lot for b in found[i]]
-        z = (np.array([path_vector(p) for p in of]) @ net.w[:PATH_DIM] + net.b)[which]
-        z += np.concatenate([rest_vectors(found[i]) for i in lot]) @ net.w[PATH_DIM:]
-        keep = net.run(z, np.array([len(found[i]) for i in lot])) > 0
-        start = 0
-        for i in lot:
-            out[i] = " ".join(b.text for b, k in zip(found[i], keep[start : start + len(found[i])], strict=True) if k)
-            start += len(found[i])
+    out, waiting, total = [""] * len(htmls), [], 0
+
+    def read() -> None:
+        lot = sorted(waiting, key=lambda x: len(x[1]))  # pages of like length side by side
+        for k in range(0, len(lot), 256):
+            part = lot[k : k + 256]
+            of: dict[tuple, int] = {}
+            which = [of.setdefault(b.path, len(of)) for _, found in part for b in found]
+            z = (np.array([path_vector(p) for p in of]) @ net.w[:PATH_DIM] + net.b)[which]
+            z += np.concatenate([rest_vectors(found) for _, found in part]) @ net.w[PATH_DIM:]
+            keep = net.run(z, np.array([len(found) for _, found in part])) > 0
+            start = 0
+            for i, found in part:
+                out[i] = " ".join(b.text for b, y in zip(found, keep[start : start + len(found)], strict=True) if y)
+                start += len(found)
+
+    for i, html in enumerate(htmls):
+        found = blocks(html)
+        if len(found) > PIECE // 4:
+            keep = _long_page(found, net) > 0
+            out[i] = " ".join(b.text for b, y in zip(found, keep, strict=True) if y)
+        elif found:
+            waiting.append((i, found))
+            total += len(found)
+            if total >= PIECE:
+                read()
+                waiting, total = [], 0
+    if waiting:
+        read()
     return out
 
 
@@ -258,3 +356,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return picked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    made = fit()
+    np.savez(WEIGHTS, recipe=recipe(), w=made.w, u=made.u, b=made.b, out=made.out)

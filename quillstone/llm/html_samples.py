@@ -41,9 +41,12 @@ def sample_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     html: list[str] = []
     # how this site names things: by known names, names of its own, or not at all
     unknown = {}
-    habit = rng.choice([0.0, 0.0, 0.1, 0.3])
+    habit = rng.choice([0.0, 0.0, 0.1, 0.3, 0.0, 0.1, 0.3, 1.0])
+    hashed = rng.random() < 0.5  # names as build tools make them
 
     def name() -> str:
+        if hashed and rng.random() < habit:
+            return rng.choice(["css-", "sc-", "_", ""]) + "".join(rng.choice("abcdefghijkmnpqrstuvwxyz0123456789") for _ in range(rng.randint(5, 8)))
         return "-".join("".join(rng.choice(_LETTERS[0]) + rng.choice(_LETTERS[1]) for _ in range(rng.randint(1, 3))) for _ in range(rng.choice([1, 1, 2])))
 
     def spec(names: list[str], bare: float = 0.0) -> str:
@@ -91,6 +94,8 @@ def sample_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
 
     def other(names: list[str], said: str, bare: float = 0.05) -> str:
         s, kind = spec(names, bare), rng.random()
+        if said == "foot" and kind < 0.25:
+            return wrap(s, say(f"{rng.choice(['Copyright', '©', 'Copyright ©'])} {rng.randint(1995, 2030)} {sentence(rng.randint(1, 4), said)}", 0, rng.choice(["{}", "<p>{}</p>", "{} <a href='/i'></a>"])))
         if s == "div" and rng.random() < 0.8:  # without a name there have to be words or links that tell
             return wrap(s, links(rng.randint(2, 5), said, False)) if kind < 0.5 else wrap(s, say(" ".join(rng.choice(_SAID[said]) for _ in range(rng.randint(2, 6))), 0))
         if kind < 0.35:
@@ -105,7 +110,8 @@ def sample_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             return other(TALK, "talk")
         s, item = spec(TALK), rng.choice(["div.comment", "li", "article.comment", "div", "li.comment", f"div.{name()}", f"article.{name()}"])
         who, what = rng.choice(["<b>{}</b><br>", "<div>{}</div>", "<h4>{}</h4>", "<span>{}</span> "]), rng.choice(["<p>{}</p>", "<div>{}</div>", "{}"])
-        body = say(sentence(rng.randint(1, 2), "talk"), 0, rng.choice(["<h2>{}</h2>", "<h3>{}</h3>", "<div>{}</div>"])) if rng.random() < 0.7 else ""
+        number = f"{rng.randint(1, 40)} {rng.choice(['comments', 'replies', 'reader comments', 'responses'])}"
+        body = say(number if rng.random() < 0.4 else sentence(rng.randint(1, 2), "talk"), 0, rng.choice(["<h2>{}</h2>", "<h3>{}</h3>", "<div>{}</div>"])) if rng.random() < 0.7 else ""
         for _ in range(rng.randint(1, 5)):
             a, b = f"{word()} {rng.choice(_SAID['talk'])}", prose(3, rng.choice(["talk", ""]))
             inner = who.format(a) + what.format(b)
@@ -140,8 +146,12 @@ def sample_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             return f"<{tag}>" + "".join(say(sentence(rng.randint(1, 14)), 1, "<li>{}</li>") for _ in range(rng.randint(1, 5))) + f"</{tag}>"
         if k < 0.9:
             return say(prose(2), 1, rng.choice(["<blockquote>{}</blockquote>", "<pre>{}</pre>", "<figure><img><figcaption>{}</figcaption></figure>"]))
-        if k < 0.93:
-            return "<table>" + "".join("<tr>" + "".join(say(word(), 1, "<td>{}</td>") for _ in range(3)) + "</tr>" for _ in range(rng.randint(1, 4))) + "</table>"
+        if k < 0.92:
+            cells, wide = (lambda: word(), 3) if rng.random() < 0.5 else (lambda: prose(1), rng.randint(1, 2))
+            return "<table>" + "".join("<tr>" + "".join(say(cells(), 1, "<td>{}</td>") for _ in range(wide)) + "</tr>" for _ in range(rng.randint(1, 4))) + "</table>"
+        if k < 0.935:  # what stands in for a film or a drawing
+            tag = rng.choice(["object", "video", "audio", "canvas"])
+            return f"<div><{tag}>{say(prose(1), 1)}</{tag}></div>" if rng.random() < 0.5 else f"<{tag}>{say(prose(2), 1, '<p>{}</p>')}</{tag}>"
         return rng.choice([lambda: other(ADVERT, "ad", 0), lambda: other(SHARE, "menu", 0), lambda: other(NOTE, "note", 0), form, lambda: other(SIDE, "side", 0)])()
 
     def nest(body: str, most: int) -> str:
@@ -151,6 +161,8 @@ def sample_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
 
     def article() -> str:
         s = spec(MAIN, 0.15)
+        if rng.random() < 0.06 and s != "div":  # a notice or a heading is all there is
+            return wrap(s, say(sentence(rng.randint(1, 9)), 1, rng.choice(["<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<h1>{}</h1>", "{}"])))
         head = say(title, 1, rng.choice(["<h1>{}</h1>", "<h1 class='title'>{}</h1>", "<h1><a href='/'>{}</a></h1>", "<header><h1>{}</h1></header>", "<h2>{}</h2>"])) if rng.random() < 0.8 else ""
         body = "".join(inside() for _ in range(rng.choice([0, 1, 2, 4, 8, 14])))
         if rng.random() < 0.3:
@@ -173,10 +185,15 @@ def sample_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     after = [lambda: other(FOOT, "foot"), talk, lambda: other(SIDE, "side"), lambda: other(ADVERT, "ad"), menu, form, lambda: other(NOTE, "note"), lambda: other(SHARE, "menu")]
     beside = [lambda: other(SIDE, "side"), menu, lambda: other(ADVERT, "ad"), lambda: other(SIDE, "side"), talk, lambda: other(SHARE, "menu")]
     head = group(before, 4, HEAD + WRAP)
-    if rng.random() < 0.12:  # columns of a table
-        left = f"<td>{menu()}</td>" if rng.random() < 0.6 else ""
-        middle = f"<td>{article()}</td>"
-        body = f"<table><tr>{left}{middle}" + (f"<td>{other(SIDE, 'side')}</td>" if rng.random() < 0.5 else "") + "</tr></table>"
+    if rng.random() < 0.15:  # columns of a table, and at times rows of it for what is above and below
+        cell = rng.choice(["<td>{}</td>", "<td valign='top'>{}</td>", "<td colspan=2>{}</td>"]).format
+        row = lambda makers: f"<tr>{cell(rng.choice(makers)())}</tr>"
+        top = row([menu, lambda: links(rng.randint(2, 5), "menu", False), banner]) if rng.random() < 0.4 else ""
+        left = cell(menu()) if rng.random() < 0.6 else ""
+        middle = cell(article())
+        right = cell(other(SIDE, "side")) if rng.random() < 0.5 else ""
+        last = row([lambda: other(FOOT, "foot"), lambda: say(sentence(rng.randint(3, 9), "foot"), 0) + links(rng.randint(1, 3), "foot", False)]) if rng.random() < 0.5 else ""
+        body = f"<table>{top}<tr>{left}{middle}{right}</tr>{last}</table>"
     else:
         left = nest(group(beside, 1, WRAP), 1) if rng.random() < 0.25 else ""
         middle = nest(article(), 2)
