@@ -76,6 +76,7 @@ def test_sentences_end_where_they_should():
         ("", []), ("  ", []), ("One.", [1]), ("One two. Three!  Four?", [2, 3, 4]), ('He said "no." Then left.', [3, 5]), ("e.g. this, v1.2 and x", [1, 5]), ("a\n\nb c\r\n", [1, 3]), (" . a", [1, 2]), ("end.) Next", [1, 2]), ("é. ü", [1, 2]),
     ]:
         assert substring.sentence_ends(text.encode()).tolist() == want == plain_sentences(text), text
+        assert substring.count_sentences(text.encode()) == len(want), text
 
 
 def test_substring_dedup_against_plain(spark):
