@@ -1,21 +1,16 @@
-"""Shared plumbing of the training-data operators: work folders, hot-key joins, Arrow row access."""
+"""Shared plumbing of the training-data operators: column access, files of own formats, Arrow rows; with the core's tables and joins."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
-
-#: A key counts as hot when it holds at least 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 256
+from ..shared import HOT_SHARE, Workspace, hot_join, shared_dir, small_batches
 
+__all__ = ["HOT_SHARE", "Workspace", "as_bytes", "col", "hot_join", "make_dirs", "open_fs", "quoted", "shared_dir", "small_batches", "whole_row"]
 
 def quoted(name: str) -> str:
     """A column's name as SQL reads it, whatever is in it."""
@@ -31,30 +26,6 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[col(c) for c in df.columns])
 
 
-class Workspace:
-    """A fresh folder below the shared one; cuts lineage by writing tables and reading them again."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table: survives lost executors, recomputes nothing."""
-        path = self.path(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a table made by :meth:`table` that nothing reads any more."""
-        jvm = self.spark._jvm
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """Filesystem and path of a URI, for executors that write or read files of their own format."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
@@ -68,39 +39,3 @@ def make_dirs(uri: str) -> None:
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 of a string column without decoding it."""
     return pc.cast(column, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a piece holds about ``limit`` bytes of ``column`` (one row at least): bounds a worker's memory."""
-    for batch in batches:
-        if batch.nbytes <= limit:
-            yield batch
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        start = total = 0
-        for i, n in enumerate(sizes):
-            if total and total + n > limit:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += n
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
-def hot_join(left: DataFrame, right: DataFrame, key: str, share: Column, keep: list[str], salt: list[str] | None = None) -> DataFrame:
-    """Left join on ``key`` where a few keys may hold a third of the left rows.
-
-    ``right`` has one row a key; ``share`` is true for its hot keys, of which there can be at most HOT_SHARE (each
-    holds 1/HOT_SHARE of the left rows or more), so they are broadcast. Rows of hot keys get a salt that matches
-    nothing and so spread evenly over the shuffle of the rest; it is a hash of the row's columns ``salt`` (all, unless
-    given), so a task that runs again deals its rows as before. Adds the columns ``keep`` of ``right``.
-    """
-    slim = right.select(F.col(key).alias("_hk"), F.struct(*keep).alias("_hv"), F.coalesce(share, F.lit(False)).alias("_hot"))
-    hot = F.broadcast(slim.filter("_hot").select("_hk", F.col("_hv").alias("_hot_v")))
-    cold = slim.filter("not _hot").select(F.col("_hk").alias("_ck"), F.lit(0).alias("_cs"), F.col("_hv").alias("_cold_v"))
-    marked = left.join(hot, left[key] == F.col("_hk"), "left").drop("_hk")
-    spread = F.pmod(F.xxhash64(*(salt or left.columns)), F.lit(4093)).cast("int") + 1
-    marked = marked.withColumn("_s", F.when(F.col("_hot_v").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(spread))
-    joined = marked.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")
-    value = F.coalesce(F.col("_hot_v"), F.col("_cold_v"))
-    return joined.select(*[F.col(c) for c in left.columns], *[value[c].alias(c) for c in keep])

@@ -166,7 +166,7 @@ def _distinct(texts: list[list[bytes]], labels: list[int]) -> list[int]:
 
 
 def learn(sample: list[tuple[bytes | None, int]]) -> Field:
-    """Fit a field to (text, toxic 0/1) pairs. Deterministic. Without both classes every score is the toxic share."""
+    """Fit a field to (text, toxic 0/1) pairs. Deterministic. Without toxic labels nothing is flagged: every score is 1/4 at most; with toxic labels alone every score is their share."""
     one: dict[bytes, bytes] = {}  # one object a word, whatever the number of its places
     pairs = [([one.setdefault(w, w) for w in words_of(t)], int(y)) for t, y in sample]
     pairs = [pairs[i] for i in _distinct([w for w, _ in pairs], [y for _, y in pairs])]
@@ -215,7 +215,7 @@ def learn(sample: list[tuple[bytes | None, int]]) -> Field:
     if len(set(y)) == 2:
         field.fit = _logistic(np.array([summary(p) for p in chains]), y)
     else:
-        share = (y.sum() + 1) / (len(y) + 2)
+        share = (y.sum() + 1 if y.sum() else 0.5) / (len(y) + 2)  # without toxic labels nothing is flagged: 1/4 at most
         field.fit = np.array([np.log(share / (1 - share)), 0, 0, 0])
     return field
 

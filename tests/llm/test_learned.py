@@ -111,7 +111,9 @@ def test_toxicity_learns_from_training_rows_alone(spark):
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [0 <= r.score <= 1 for r in toxicity.score_documents(docs, labels).collect()] == [True, True]
+    assert [(0 <= r.score < 0.3, r.predicted) for r in toxicity.score_documents(docs, labels).collect()] == [(True, 0)] * 2
+    clean = spark.createDataFrame([(r.doc_id, 0) for r in docs.collect() if r.doc_id is not None], "doc_id long, toxic int")
+    assert {r.predicted for r in toxicity.score_documents(docs, clean).collect()} == {0}
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
