@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables, query, sql_of
+from ..operators.dense_index import CellIndex
 from ..operators.index import TermIndex
 from ..shared import shared_dir
 from . import search_queries
@@ -41,3 +42,9 @@ def bm25_index_added(t: Tables) -> DataFrame:
     index = TermIndex.build(t.documents.filter(early), f"{shared_dir(t.spark)}/added-{uuid.uuid4().hex}")
     index.add(t.documents.filter(~early | early.isNull()))
     return index.bm25(t.benchmark, "item_id", 5)
+
+
+@query(sql_of(search_queries.dense_topk))
+def dense_indexed(t: Tables) -> DataFrame:
+    index = CellIndex.build(t.embeddings, f"{shared_dir(t.spark)}/cells-{uuid.uuid4().hex}")
+    return index.topk(t.embeddings.filter("vec_id % 100 = 0"), 5)
