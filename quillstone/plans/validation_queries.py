@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables, query
 from ..operators import governance as G
+from ..operators import rulebook
 from ..operators import validation as V
 
 
@@ -224,6 +225,5 @@ _CALLS = {"content": _pick(1, '{"mode": "play", "why": "x"}', '{"mode": "play"}'
  ELSE trim(content) <> '' AND NOT regexp_matches(content, '(?i)\\b(?:manifest|pipeline|watchdog)\\b') END AS passed FROM m""")
 def eval_calls(t: Tables) -> DataFrame:
     """Answers of an evaluation: JSON ones by the keys of their contract, prose by the rules of output."""
-    prose = (F.trim("content") != "") & ~F.col("content").rlike(r"(?i)\b(?:manifest|pipeline|watchdog)\b")
     keyed = V.keyed_json(F.col("content"), F.array(F.lit("mode"), F.lit("why")))
-    return _rows(t, _CALLS).select("k", F.when(F.col("expects_json"), keyed).otherwise(prose).alias("passed"))
+    return rulebook.answers(F.col("content"), F.col("expects_json"), keyed, _rows(t, _CALLS)).select("k", "passed")
