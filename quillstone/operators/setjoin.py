@@ -159,7 +159,7 @@ def link_counts(sets: DataFrame, at_least: float, work: Workspace) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 s, x, y, left, right = (batch.column(c)[r].as_py() for c in ("s", "x", "y", "left", "right"))
-                if found := sorted(_has_partner(left, right, x == y, at_least)):
+                if left and right and (found := sorted(_has_partner(left, right, x == y, at_least))):  # a chunk may be empty
                     yield pa.RecordBatch.from_arrays([pa.array([s] * len(found), pa.int64()), pa.array(found, pa.int64())], ["s", "id"])
 
     first = chunk_pairs(held, groups, ["id", "n", "i", "sketch"]).mapInArrow(partners, "s long, id long").distinct()
@@ -171,7 +171,7 @@ def link_counts(sets: DataFrame, at_least: float, work: Workspace) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 s, x, y, left, right = (batch.column(c)[r].as_py() for c in ("s", "x", "y", "left", "right"))
-                if found := _counts(left, right, x == y, s, at_least):
+                if left and right and (found := _counts(left, right, x == y, s, at_least)):
                     yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["id", "n"])
 
     pairs = chunk_pairs(rows, weights, ["id", "i", "o"]).mapInArrow(verified, "id long, n long")
