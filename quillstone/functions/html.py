@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import small_batches
+
 _MUTE = frozenset(("script", "style", "noscript", "template", "svg"))
 _MAIN = ("article", "main")
 
@@ -55,7 +57,7 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, title, full_text, text, extractor) a page; null html gives empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, "html"):
             cols = [list(c) for c in zip(*map(parse, b.column("html").to_pylist()), strict=True)] or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array(c, pa.string()) for c in cols]], [key, "title", "full_text", "text", "extractor"])
 

@@ -42,7 +42,8 @@ def derived_class(training: Column, rag: Column) -> Column:
 
 
 def blank(x: Column) -> Column:
-    return F.coalesce(F.trim(x), F.lit("")) == ""
+    """Null, empty or white space of any kind."""
+    return F.coalesce(x, F.lit("")).rlike(r"^\s*$")
 
 
 def unknown(x: Column) -> Column:
