@@ -84,6 +84,7 @@ def quality(scored: DataFrame) -> DataFrame:
     return scored.withColumn("flags", F.struct(*[f.alias(k) for k, f in flags.items()])).withColumn("posterior", (6 + good) / 14.0)
 
 
+# Patterns, weights and factors that the scores of transcripts depend on.
 _DIALOGUE = r"(?m)^[A-Z][A-Za-z0-9 .'-]{0,30}:\s"
 _DICE_TALK = (r"(?i)\broll(?:s|ed)?\b", r"\b\d+d\d+\b", r"(?i)\bd20\b", r"(?i)\binitiative\b", r"(?i)\battack(?:s|ed)?\b", r"(?i)\bhit(?:s)?\b|\bmiss(?:es)?\b")
 _SESSION = (r"(?i)\b(Session|Episode)\s*\d+\b", r"(?i)\bRecap\b", r"(?m)^\s*\[\d{1,2}:\d{2}(?::\d{2})?\]\s*")
@@ -102,6 +103,7 @@ def transcript_features(rows: DataFrame, text: Column, title: Column) -> DataFra
 
 
 #: (feature, steps of (at least, points, reason)); the first step that holds counts.
+# Weights of the features, and factors of the evidence.
 HEURISTIC = {
     "dialogue_lines": ((10, 3.0, "dialogue-heavy"), (4, 1.5, "dialogue-some")),
     "dice_hits": ((5, 2.0, "many-dice-mentions"), (1, 0.8, "some-dice-mentions")),

@@ -95,6 +95,7 @@ def dehyphenate(x: Text) -> Column:
 def mark_lines(x: Column) -> Column:
     """Lines with dashes as '-', bullets as '- ' and numbers of lists with one space behind them."""
     dash = lambda line: sub(line, "[–—]+", "-")
+    # fixed values: marks of lists
     bullet = r"\A\s*[•·●►▪-]\s*"
     number = r"\A\s*(\d+[).]|\(\d+\)|[a-z]\))\s+"
     return F.transform(x, lambda line: F.when(dash(line).rlike(bullet), sub(dash(line), bullet, "- ")).otherwise(sub(dash(line), number, "$1 ")))
@@ -152,6 +153,7 @@ def normalize_whitespace(x: Text) -> Column:
 
 def redact_context(x: Text) -> Column:
     """Text without urls, markdown links, platform, tooling and id terms, and Windows paths."""
+    # fixed values: what prompts may not show
     y = sub(sub(x, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"(?i)\b(?:https?://|www\.)\S+", "")
     y = sub(y, r"(?i)\b(?:blogspot|reddit|fandom|wikipedia|dandwiki|homebrewery|github|notion|medium|stackexchange|srd)\b", "")
     y = sub(y, r"(?i)\b[a-z]:\\\S+", "")
