@@ -21,58 +21,51 @@ _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})$"
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
 
+def _none(n: int) -> Column:
+    return F.array(*[F.lit(False)] * n).cast("array<boolean>")
 
-def _number(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "decimal(38,9)")
 
-
-def _list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
+def _kind(v: Column) -> Column:
+    """JSON type of a variant, without telling integers from other numbers."""
+    return _with(F.schema_of_variant(v), lambda k: F.when(k.startswith("OBJECT"), "object").when(k.startswith("ARRAY"), "array").when(k == "VOID", "null").when(k.isin("STRING", "BOOLEAN"), F.lower(k)).otherwise("number"))
 
 
-def _keys(v: Column) -> Column:
-    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+def _facts(v: Column, kind: Column) -> Column:
+    """What the keywords ask of a variant; a field is null where the type has no such thing."""
+    of = lambda name, to: F.when(kind == name, F.try_variant_get(v, "$", to))
+    return F.struct(
+        v.alias("v"), kind.alias("kind"), of("string", "string").alias("text"), of("number", "decimal(38,9)").alias("number"), of("boolean", "boolean").alias("flag"),
+        of("array", "array<variant>").alias("items"), F.map_keys(of("object", "map<string,variant>")).alias("keys"),
+    )
 
 
-def _is(v: Column, name: str) -> Column:
-    """Whether a variant (not SQL null) is of a JSON type."""
-    kind = _kind(v)
-    other = kind.startswith("OBJECT") | kind.startswith("ARRAY") | kind.isin("STRING", "BOOLEAN", "VOID")
-    return {
-        "object": kind.startswith("OBJECT"),
-        "array": kind.startswith("ARRAY"),
-        "string": kind == "STRING",
-        "boolean": kind == "BOOLEAN",
-        "null": kind == "VOID",
-        "number": ~other,
-        "integer": ~other & F.coalesce(_number(v) % 1 == 0, F.lit(False)),
-    }[name]
+def _is(x: Column, name: str) -> Column:
+    """Whether a value (by its facts) is of a JSON type."""
+    if name == "integer":
+        return (x["kind"] == "number") & F.coalesce(x["number"] % 1 == 0, F.lit(False))
+    if name not in ("object", "array", "string", "boolean", "null", "number"):
+        raise ValueError(f"no type {name}")
+    return x["kind"] == name
 
 
-def _equals(v: Column, value: Any) -> Column:
-    """Whether a variant is a scalar JSON value."""
+def _equals(x: Column, value: Any) -> Column:
+    """Whether a value (by its facts) is a scalar JSON value."""
     if value is None:
-        return _is(v, "null")
+        return _is(x, "null")
     if isinstance(value, bool):
-        return _is(v, "boolean") & (F.try_variant_get(v, "$", "boolean") == value)
+        return _sure(x["flag"] == value)
     if isinstance(value, str):
-        return _is(v, "string") & (_text(v) == value)
+        return _sure(x["text"] == value)
     if isinstance(value, (int, float)):
-        return _is(v, "number") & (_number(v) == F.lit(value).cast("decimal(38,9)"))
+        return _sure(x["number"] == F.lit(value).cast("decimal(38,9)"))
     raise ValueError(f"only scalars are compared: {value!r}")
 
 
-def _all(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -81,81 +74,97 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def rules(schema: dict | bool, v: Column, at: str = "$") -> list[tuple[str, Column]]:
-    """(place:keyword, condition that holds if it is violated) for a variant; a value that is absent (SQL null) violates nothing."""
+def rules(schema: dict | bool, v: Column, at: str = "$") -> tuple[list[str], Column]:
+    """Codes (place:keyword), and which of them a variant violates (array<boolean>, never null); a value that is absent (SQL null) violates nothing.
+
+    A value and what is asked of it are bound once at each place, so the work grows with the schema, not with its depth.
+    """
     if schema is True or schema is False:
-        return [] if schema else [(f"{at}:false", v.isNotNull())]
+        return ([], _none(0)) if schema else ([f"{at}:false"], F.array(v.isNotNull()))
     if unknown := set(schema) - KNOWN - NOTES:
         raise ValueError(f"{at}: no rule for {', '.join(sorted(unknown))}")
-    out: list[tuple[str, Column]] = []
-    there = v.isNotNull()
+    codes: list[str] = []
+
+    def judged(x: Column) -> Column:
+        found = _judge(schema, x, at)
+        codes.extend(code for part, _ in found for code in part)
+        return F.concat(*[flags for _, flags in found]) if found else _none(0)
+
+    flags = _with(v, lambda w: F.when(w.isNotNull(), _with(_kind(w), lambda kind: _with(_facts(w, kind), judged))))
+    return codes, F.coalesce(flags, _none(len(codes)))
+
+
+def _judge(schema: dict, x: Column, at: str) -> list[tuple[list[str], Column]]:
+    """(codes, flags) of the keywords of a schema by the facts of a value, and of the places below."""
+    own: list[tuple[str, Column]] = []
+    parts: list[tuple[list[str], Column]] = []
+    v, text, number, items = x["v"], x["text"], x["number"], x["items"]
 
     def rule(keyword: str, applies: Column, good: Column) -> None:
-        out.append((f"{at}:{keyword}", there & _sure(applies) & ~_sure(good)))
+        own.append((f"{at}:{keyword}", _sure(applies) & ~_sure(good)))
 
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        rule("type", F.lit(True), _any([_is(v, n) for n in names]))
+        rule("type", F.lit(True), _any([_is(x, n) for n in names]))
     if "enum" in schema:
-        rule("enum", F.lit(True), _any([_equals(v, x) for x in schema["enum"]]))
+        rule("enum", F.lit(True), _any([_equals(x, e) for e in schema["enum"]]))
     if "const" in schema:
-        rule("const", F.lit(True), _equals(v, schema["const"]))
-    text, size = _is(v, "string"), F.char_length(_text(v))
-    for keyword, good in {"minLength": lambda n: size >= n, "maxLength": lambda n: size <= n, "pattern": lambda p: _text(v).rlike(p)}.items():
+        rule("const", F.lit(True), _equals(x, schema["const"]))
+    size = F.char_length(text)
+    for keyword, good in {"minLength": lambda n: size >= n, "maxLength": lambda n: size <= n, "pattern": lambda p: text.rlike(p)}.items():
         if keyword in schema:
-            rule(keyword, text, good(schema[keyword]))
+            rule(keyword, _is(x, "string"), good(schema[keyword]))
     if "format" in schema:
-        rule("format", text, _format(_text(v), schema["format"]))
-    for keyword, good in {"minimum": lambda n: _number(v) >= n, "maximum": lambda n: _number(v) <= n}.items():
+        rule("format", _is(x, "string"), _format(text, schema["format"]))
+    for keyword, good in {"minimum": lambda n: number >= n, "maximum": lambda n: number <= n}.items():
         if keyword in schema:
-            rule(keyword, _is(v, "number"), good(schema[keyword]))
-    array, items = _is(v, "array"), _list(v)
+            rule(keyword, _is(x, "number"), good(schema[keyword]))
+    array = _is(x, "array")
     for keyword, good in {"minItems": lambda n: F.size(items) >= n, "maxItems": lambda n: F.size(items) <= n}.items():
         if keyword in schema:
             rule(keyword, array, good(schema[keyword]))
     if schema.get("uniqueItems"):
-        as_text = F.transform(items, lambda x: F.to_json(x))
-        rule("uniqueItems", array, F.size(F.array_distinct(as_text)) == F.size(as_text))
+        rule("uniqueItems", array, _with(F.transform(items, lambda e: F.to_json(e)), lambda as_text: F.size(F.array_distinct(as_text)) == F.size(as_text)))
     if "contains" in schema:
-        rule("contains", array, F.exists(items, lambda x: valid(schema["contains"], x)))
+        rule("contains", array, F.exists(items, lambda e: valid(schema["contains"], e)))
     if "items" in schema:  # one code for each keyword below, whichever element violates it
         codes: list[str] = []
 
-        def judged(x: Column) -> Column:
-            below = rules(schema["items"], x, f"{at}[]")
-            codes.extend(code for code, _ in below)
-            return F.array(*[_sure(bad) for _, bad in below])
-
-        found = F.transform(items, judged)
-        for k, code in enumerate(codes):
-            out.append((code, there & _sure(array) & _sure(F.exists(found, _at(k)))))
-    obj = _is(v, "object")
-    if schema.get("required"):
-        for name in schema["required"]:
-            rule(f"required.{name}", obj, F.array_contains(_keys(v), name))
+        def element(e: Column) -> Column:
+            below, flags = rules(schema["items"], e, f"{at}[]")
+            codes.extend(below)
+            return flags
+
+        found = F.transform(items, element)
+        if codes:
+            parts.append((codes, _with(found, lambda rows: F.array(*[_sure(F.exists(rows, _at(k))) for k in range(len(codes))]))))
+    obj = _is(x, "object")
+    for name in schema.get("required") or []:
+        rule(f"required.{name}", obj, F.array_contains(x["keys"], name))
     if schema.get("additionalProperties") is False:
         allowed = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
-        rule("additionalProperties", obj, F.size(F.array_except(_keys(v), allowed)) == 0)
+        rule("additionalProperties", obj, F.size(F.array_except(x["keys"], allowed)) == 0)
     elif not isinstance(schema.get("additionalProperties", True), bool):
         raise ValueError(f"{at}: additionalProperties can only be true or false")
     for name, below in schema.get("properties", {}).items():
-        out += rules(below, F.try_variant_get(v, f"$['{name}']", "variant"), f"{at}.{name}")
+        parts.append(rules(below, F.when(obj, F.try_variant_get(v, f"$['{name}']", "variant")), f"{at}.{name}"))
     for below in schema.get("allOf", []):
-        out += rules(below, v, at)
+        parts.append(rules(below, v, at))
     if "anyOf" in schema:
         rule("anyOf", F.lit(True), _any([valid(below, v) for below in schema["anyOf"]]))
     if "not" in schema:
         rule("not", F.lit(True), ~valid(schema["not"], v))
     if "if" in schema:
-        fits = valid(schema["if"], v)
-        for branch, when in (("then", fits), ("else", ~fits)):
-            for code, bad in rules(schema.get(branch, True), v, at):
-                out.append((f"{code}({branch})", there & when & _sure(bad)))
-    return out
+        (then, then_flags), (other, other_flags) = (rules(schema.get(branch, True), v, at) for branch in ("then", "else"))
+        flags = _with(valid(schema["if"], v), lambda fits: F.concat(F.when(fits, then_flags).otherwise(_none(len(then))), F.when(fits, _none(len(other))).otherwise(other_flags)))
+        parts.append(([f"{code}(then)" for code in then] + [f"{code}(else)" for code in other], flags))
+    if own:
+        parts.append(([code for code, _ in own], F.array(*[bad for _, bad in own])))
+    return [part for part in parts if part[0]]
 
 
 def _at(k: int) -> Callable[[Column], Column]:
-    return lambda flags: flags[k]
+    return lambda flags: F.get(flags, F.lit(k))
 
 
 def _format(text: Column, name: str) -> Column:
@@ -168,11 +177,15 @@ def _format(text: Column, name: str) -> Column:
 
 def valid(schema: dict | bool, v: Column) -> Column:
     """Whether a variant violates nothing; never null."""
-    return ~_sure(_any([bad for _, bad in rules(schema, v)]))
+    return ~F.array_contains(rules(schema, v)[1], True)
 
 
 def violations(schema: dict, document: Column) -> Column:
     """Sorted distinct codes of what a JSON text violates; ``$:json`` alone for one that is none or null."""
-    v = F.try_parse_json(document)
-    found = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules(schema, v)]))
-    return F.when(v.isNull(), F.array(F.lit("$:json"))).otherwise(F.array_sort(F.array_distinct(found)))
+
+    def listed(v: Column) -> Column:
+        codes, flags = rules(schema, v)
+        found = _with(flags, lambda bad: F.array_compact(F.array(*[F.when(F.get(bad, F.lit(k)), F.lit(code)) for k, code in enumerate(codes)]).cast("array<string>")))
+        return F.when(v.isNull(), F.array(F.lit("$:json"))).otherwise(F.array_sort(F.array_distinct(found)))
+
+    return _with(F.try_parse_json(document), listed)
