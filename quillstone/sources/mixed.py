@@ -25,7 +25,7 @@ from ..functions.html import parse
 SCHEMA = "path string, kind string, at long, n_bytes long, title string, text string, error string"
 #: Bytes of a partition, unless the option ``bytes`` says otherwise.
 PART_BYTES = 16 << 20
-#: Bytes that tell what a file is.
+#: Bytes that tell what a file is, unless it begins with an object.
 HEAD_BYTES = 4096
 SUFFIXES = {"html": "html", "htm": "html", "xhtml": "html", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl"}
 _MARKUP = re.compile(rb"\s*(?:<!doctype html|<html|<head|<body|<article|<div|<p[\s>])", re.IGNORECASE)
@@ -50,6 +50,17 @@ def sniff(path: str, head: bytes) -> str:
     return kind or "text"
 
 
+def head_of(source, most: int) -> bytes:
+    """The bytes that tell what a file is: of one that begins with an object also its first line, however long, up to what follows or about ``most`` bytes."""
+    head = source.read(HEAD_BYTES)
+    while len(head) < most:
+        body = head.removeprefix(b"\xef\xbb\xbf").lstrip()
+        if body[:1] != b"{" or body.partition(b"\n")[2].strip() or not (more := source.read(len(head))):
+            break
+        head += more
+    return head
+
+
 @dataclass
 class Files(InputPartition):
     """Pieces of files: (path, size of the file, first byte, end)."""
@@ -109,7 +120,7 @@ class MixedReader(DataSourceReader):
         for f in found:
             if f.size > self.most:  # only these are worth a look before they are read
                 with fs.open_input_stream(f.path) as source:
-                    if sniff(f.path, source.read(HEAD_BYTES)) == "jsonl":
+                    if sniff(f.path, head_of(source, self.most)) == "jsonl":
                         lines.add(f.path)
         return plan([(f.path, f.size) for f in found], self.most, lines)
 
@@ -119,7 +130,7 @@ class MixedReader(DataSourceReader):
             kind = None
             try:
                 with io.BufferedReader(fs.open_input_file(path), 1 << 20) as source:
-                    kind = sniff(path, source.read(HEAD_BYTES))
+                    kind = sniff(path, head_of(source, size))
                     if kind == "jsonl":
                         yield from self._lines(source, path, start, end)
                     else:
