@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 NOTES = frozenset("$schema $id title description default examples $comment".split())
 KNOWN = frozenset("type required properties additionalProperties enum const pattern minLength maxLength minimum maximum minItems maxItems uniqueItems items contains format allOf anyOf not if then else".split())
+#: Between codes: a control character, which is part of no name.
+_SEP = "\x1f"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _TIME = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})$"
 
@@ -26,10 +28,6 @@ def _with(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _none(n: int) -> Column:
-    return F.array(*[F.lit(False)] * n).cast("array<boolean>")
-
-
 def _kind(v: Column) -> Column:
     """JSON type of a variant, without telling integers from other numbers."""
     return _with(F.schema_of_variant(v), lambda k: F.when(k.startswith("OBJECT"), "object").when(k.startswith("ARRAY"), "array").when(k == "VOID", "null").when(k.isin("STRING", "BOOLEAN"), F.lower(k)).otherwise("number"))
@@ -74,34 +72,33 @@ def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def rules(schema: dict | bool, v: Column, at: str = "$") -> tuple[list[str], Column]:
-    """Codes (place:keyword), and which of them a variant violates (array<boolean>, never null); a value that is absent (SQL null) violates nothing.
+def rules(schema: dict | bool, v: Column, at: str = "$", mark: str = "") -> Column:
+    """The codes (place:keyword and ``mark``) that a variant violates, joined by _SEP; empty where it violates nothing or is absent (SQL null).
 
     A value and what is asked of it are bound once at each place, so the work grows with the schema, not with its depth.
+    The result is always a concat_ws: its type and that it is never null are known without a look at what it is made of,
+    which Spark takes anew for each row at each level of bound values.
     """
     if schema is True or schema is False:
-        return ([], _none(0)) if schema else ([f"{at}:false"], F.array(v.isNotNull()))
+        return F.concat_ws(_SEP, F.when(v.isNotNull() & F.lit(not schema), F.lit(f"{at}:false{mark}")))
     if unknown := set(schema) - KNOWN - NOTES:
         raise ValueError(f"{at}: no rule for {', '.join(sorted(unknown))}")
-    codes: list[str] = []
+    if not set(schema) & KNOWN:
+        return F.concat_ws(_SEP)
 
     def judged(x: Column) -> Column:
-        found = _judge(schema, x, at)
-        codes.extend(code for part, _ in found for code in part)
-        return F.concat(*[flags for _, flags in found]) if found else _none(0)
+        return F.concat_ws(_SEP, *_judge(schema, x, at, mark))
 
-    flags = _with(v, lambda w: F.when(w.isNotNull(), _with(_kind(w), lambda kind: _with(_facts(w, kind), judged))))
-    return codes, F.coalesce(flags, _none(len(codes)))
+    return F.concat_ws(_SEP, _with(v, lambda w: F.concat_ws(_SEP, F.when(w.isNotNull(), _with(_kind(w), lambda kind: _with(_facts(w, kind), judged))))))
 
 
-def _judge(schema: dict, x: Column, at: str) -> list[tuple[list[str], Column]]:
-    """(codes, flags) of the keywords of a schema by the facts of a value, and of the places below."""
-    own: list[tuple[str, Column]] = []
-    parts: list[tuple[list[str], Column]] = []
+def _judge(schema: dict, x: Column, at: str, mark: str) -> list[Column]:
+    """What the keywords of a schema find by the facts of a value, and the places below: a code, null or joined codes each."""
+    parts: list[Column] = []
     v, text, number, items = x["v"], x["text"], x["number"], x["items"]
 
     def rule(keyword: str, applies: Column, good: Column) -> None:
-        own.append((f"{at}:{keyword}", _sure(applies) & ~_sure(good)))
+        parts.append(F.when(_sure(applies) & ~_sure(good), F.lit(f"{at}:{keyword}{mark}")))
 
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
@@ -127,17 +124,8 @@ def _judge(schema: dict, x: Column, at: str) -> list[tuple[list[str], Column]]:
         rule("uniqueItems", array, _with(F.transform(items, lambda e: F.to_json(e)), lambda as_text: F.size(F.array_distinct(as_text)) == F.size(as_text)))
     if "contains" in schema:
         rule("contains", array, F.exists(items, lambda e: valid(schema["contains"], e)))
-    if "items" in schema:  # one code for each keyword below, whichever element violates it
-        codes: list[str] = []
-
-        def element(e: Column) -> Column:
-            below, flags = rules(schema["items"], e, f"{at}[]")
-            codes.extend(below)
-            return flags
-
-        found = F.transform(items, element)
-        if codes:
-            parts.append((codes, _with(found, lambda rows: F.array(*[_sure(F.exists(rows, _at(k))) for k in range(len(codes))]))))
+    if "items" in schema:  # a code counts once, whichever elements violate it
+        parts.append(F.array_distinct(F.transform(items, lambda e: rules(schema["items"], e, f"{at}[]", mark))))
     obj = _is(x, "object")
     for name in schema.get("required") or []:
         rule(f"required.{name}", obj, F.array_contains(x["keys"], name))
@@ -147,24 +135,17 @@ def _judge(schema: dict, x: Column, at: str) -> list[tuple[list[str], Column]]:
     elif not isinstance(schema.get("additionalProperties", True), bool):
         raise ValueError(f"{at}: additionalProperties can only be true or false")
     for name, below in schema.get("properties", {}).items():
-        parts.append(rules(below, F.when(obj, F.try_variant_get(v, f"$['{name}']", "variant")), f"{at}.{name}"))
+        parts.append(rules(below, F.when(obj, F.try_variant_get(v, f"$['{name}']", "variant")), f"{at}.{name}", mark))
     for below in schema.get("allOf", []):
-        parts.append(rules(below, v, at))
+        parts.append(rules(below, v, at, mark))
     if "anyOf" in schema:
         rule("anyOf", F.lit(True), _any([valid(below, v) for below in schema["anyOf"]]))
     if "not" in schema:
         rule("not", F.lit(True), ~valid(schema["not"], v))
     if "if" in schema:
-        (then, then_flags), (other, other_flags) = (rules(schema.get(branch, True), v, at) for branch in ("then", "else"))
-        flags = _with(valid(schema["if"], v), lambda fits: F.concat(F.when(fits, then_flags).otherwise(_none(len(then))), F.when(fits, _none(len(other))).otherwise(other_flags)))
-        parts.append(([f"{code}(then)" for code in then] + [f"{code}(else)" for code in other], flags))
-    if own:
-        parts.append(([code for code, _ in own], F.array(*[bad for _, bad in own])))
-    return [part for part in parts if part[0]]
-
-
-def _at(k: int) -> Callable[[Column], Column]:
-    return lambda flags: F.get(flags, F.lit(k))
+        then, other = (rules(schema.get(branch, True), v, at, f"({branch}){mark}") for branch in ("then", "else"))
+        parts.append(F.when(valid(schema["if"], v), then).otherwise(other))
+    return parts
 
 
 def _format(text: Column, name: str) -> Column:
@@ -177,15 +158,10 @@ def _format(text: Column, name: str) -> Column:
 
 def valid(schema: dict | bool, v: Column) -> Column:
     """Whether a variant violates nothing; never null."""
-    return ~F.array_contains(rules(schema, v)[1], True)
+    return ~rules(schema, v).rlike(f"[^{_SEP}]")
 
 
 def violations(schema: dict, document: Column) -> Column:
     """Sorted distinct codes of what a JSON text violates; ``$:json`` alone for one that is none or null."""
-
-    def listed(v: Column) -> Column:
-        codes, flags = rules(schema, v)
-        found = _with(flags, lambda bad: F.array_compact(F.array(*[F.when(F.get(bad, F.lit(k)), F.lit(code)) for k, code in enumerate(codes)]).cast("array<string>")))
-        return F.when(v.isNull(), F.array(F.lit("$:json"))).otherwise(F.array_sort(F.array_distinct(found)))
-
-    return _with(F.try_parse_json(document), listed)
+    codes = _with(F.try_parse_json(document), lambda v: F.concat_ws(_SEP, F.when(v.isNull(), F.lit("$:json")).otherwise(rules(schema, v))))
+    return F.array_sort(F.array_distinct(F.filter(F.split(codes, _SEP), lambda code: code != "")))
