@@ -13,19 +13,23 @@ first; the k-th best score found there is a floor, and of the other spans only t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .search import B, K1, query_terms, small, term_counts, top
+from .ranking import SLACK, Asked, Best, sums
+from .search import B, K1, TERMS_MOST, asked, query_norms, query_terms, small, term_counts, top
 
 #: Documents of a span at most: a power of two.
 SPAN_BITS = 8
 BUCKETS = 64
 #: Spans of a query that are scored before there is a floor.
 FIRST_SPANS = 4
-#: Scores are rounded to six digits, so a bound has to be lower by more than that to rule a span out.
-SLACK = 2e-6
 
 _SEGMENTS = "segment string, n_docs long, n_texts long, n_tokens long"
 _BLOCKS = "term string, span long, n int, tops array<struct<tf:long,dl:int>>, docs array<long>, tfs array<long>, dls array<int>, segment string, bucket int"
@@ -36,6 +40,22 @@ def impact(tf: Column, dl: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
 
 
+def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each span, which follow each other."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        segment, span = rows.column("segment").to_numpy(), rows.column("span").to_numpy()
+        cuts = np.flatnonzero((segment[1:] != segment[:-1]) | (span[1:] != span[:-1])) + 1
+        ends = np.append(0, cuts)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield rows.slice(a, b - a).combine_chunks()
+        held = rows.slice(int(ends[-1]))
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
 class TermIndex:
     """An inverted index below ``path``, in a file system that all parts of Spark share."""
 
@@ -57,7 +77,10 @@ class TermIndex:
         segment = uuid.uuid4().hex
         rows = term_counts(docs, "doc_id", "text").withColumn("span", F.shiftright(F.monotonically_increasing_id(), SPAN_BITS))
         folder = f"{self.path}/%s/segment={segment}"
-        postings = rows.select("doc_id", "dl", "span", F.inline("v"))
+        # the documents of a span themselves are the block of the empty term, with the squares of their norms
+        squares = F.coalesce(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["tf"] * x["tf"]), F.lit(0).cast("long"))
+        itself = F.array(F.struct(F.lit("").alias("term"), squares.alias("tf")))
+        postings = rows.select("doc_id", "dl", "span", F.inline(F.concat(F.coalesce("v", F.array().cast(rows.schema["v"].dataType)), itself)))
         entry = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl")))  # a span's documents at most
         blocks = postings.groupBy("term", "span").agg(entry.alias("p"), F.count("*").cast("int").alias("n"))
         counts = F.array_distinct(F.transform("p", lambda x: x["tf"]))
@@ -135,8 +158,54 @@ class TermIndex:
         """
         return self._spans(self._weights(queries, key, text), k)
 
+    def _blocks(self, asks: Asked) -> DataFrame:
+        """Blocks of the terms asked for, by their numbers t, and of the documents themselves (t = -1)."""
+        names = self.spark.createDataFrame([(-1, ""), *enumerate(asks.terms)], "t int, term string").withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS)))
+        return self._table("blocks", _BLOCKS).join(F.broadcast(names), ["bucket", "term"])  # TERMS_MOST rows at most
+
+    def _best(self, asks: Asked, blocks: DataFrame, terms: DataFrame, k: int, impacts: Callable | None) -> DataFrame:
+        """The k best documents a query by the sums of ``impacts`` (of term, tf and dl), or by cosine; blocks move once, by span."""
+        shared = self.spark.sparkContext.broadcast(asks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asks = shared.value
+            best, norms = Best(asks, k), query_norms(asks)
+            for span in _spans_of(batches):
+                t, size = span.column("t").to_numpy().astype(np.int64), pc.list_value_length(span.column("docs")).to_numpy().astype(np.int64)
+                docs, tf = (span.column(c).combine_chunks().flatten().to_numpy() for c in ("docs", "tfs"))
+                own = np.repeat(t < 0, size)
+                names, tf, squares = docs[own], tf[~own].astype(np.float64), tf[own].astype(np.float64)
+                if not len(tf):
+                    continue
+                doc, term, of, n = np.searchsorted(names, docs[~own]), t[t >= 0], np.repeat(t[t >= 0], size[t >= 0]), size[t >= 0]
+                if impacts is None:
+                    scores = sums(asks, len(names), term, n, doc, tf) / np.maximum(np.sqrt(squares)[:, None] * norms, 1e-300)
+                else:
+                    value = impacts(of, tf, pc.fill_null(span.column("dls").combine_chunks().flatten(), 0).to_numpy()[~own])
+                    most = np.maximum.reduceat(value, np.cumsum(n) - n)
+                    bound = sums(asks, 1, term, np.ones(len(term), np.int64), np.zeros(len(term), np.int64), most)[0]
+                    scores = sums(asks, len(names), term, n, doc, value, bound >= best.floor - SLACK)
+                best.add(scores, pa.array(names))
+            if (rows := best.rows()) is not None:
+                yield rows
+
+        kind = StructType([StructField("query_id", terms.schema["query_id"].dataType), *StructType.fromDDL("doc_id long, score double").fields])
+        spans = blocks.select("segment", "span", "t", "docs", "tfs", "dls").repartition("segment", "span").sortWithinPartitions("segment", "span", "t")
+        return top(spans.mapInArrow(run, kind), k)
+
     def bm25(self, queries: DataFrame, key: str, k: int = 5, text: str = "text") -> DataFrame:
-        """(query_id, doc_id, score, rank) of the k best documents a query, as :func:`.search.bm25` gives them."""
+        """(query_id, doc_id, score, rank) of the k best documents a query, as :func:`.search.bm25` gives them.
+
+        Few queries go to the tasks, where a span is scored as a whole for the queries whose bound reaches the floor so far.
+        """
+        terms = query_terms(queries, key, text)
+        if terms.limit(TERMS_MOST + 1).count() <= TERMS_MOST:
+            asks, (n, average) = asked(terms), self.sizes()
+            blocks, df = self._blocks(asks), np.zeros(len(asks.terms))
+            for r in blocks.filter("t >= 0").groupBy("t").agg(F.sum("n").alias("df")).collect():  # a row a query term
+                df[r.t] = r.df
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+            return self._best(asks, blocks, terms, k, lambda t, tf, dl: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (average or 1.0))))
         weights = self._weights(queries, key, text)
         needed = self._kept(self._spans(weights, k).filter("needed").select("query_id", "segment", "span"), "needed")
         return top(self._scored(weights, needed), k)
@@ -144,6 +213,9 @@ class TermIndex:
     def cosine(self, queries: DataFrame, key: str, k: int = 5, text: str = "text") -> DataFrame:
         """(query_id, doc_id, score, rank) by cosine, as :func:`.search.cosine` gives them; norms come from the index."""
         terms = query_terms(queries, key, text)
+        if terms.limit(TERMS_MOST + 1).count() <= TERMS_MOST:
+            asks = asked(terms)
+            return self._best(asks, self._blocks(asks), terms, k, None)
         qnorm = terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf")) + F.count("*") - 1).alias("qnorm"))
         held = terms.join(qnorm, "query_id").withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS)))
         rows = self._table("blocks", _BLOCKS).join(small(held), ["bucket", "term"]).select("query_id", "qnorm", "qtf", F.inline(F.arrays_zip("docs", "tfs")))
