@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..functions.text import tokens
 from .ranking import SLACK, Asked, Best, sums
-from .search import B, K1, TERMS_MOST, asked, query_norms, query_terms, small, term_counts, top
+from .search import B, K1, TERMS_MOST, asked, query_norms, query_terms, small, top
 
 #: Documents of a span at most: a power of two.
 SPAN_BITS = 8
@@ -56,6 +57,50 @@ def _spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
+def _lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _blocks_of(ids: pa.Array, s: pa.Array, span: int) -> pa.RecordBatch:
+    """Blocks of a span's documents; that of the empty term holds all documents, with the squares of their norms."""
+    dl, words = pc.list_value_length(s), s.flatten().dictionary_encode()
+    codes, count = words.indices.to_numpy().astype(np.int64), len(s)
+    order = pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="first").to_numpy().astype(np.int64) - 1  # a document's place by id
+    ids, lengths = ids.take(pa.array(np.argsort(order))), dl.take(pa.array(np.argsort(order)))
+    key, tf = np.unique(codes * count + np.repeat(order, pc.fill_null(dl, 0).to_numpy()), return_counts=True)
+    term, doc = key // count, key % count
+    squares = np.bincount(doc, tf.astype(np.float64) ** 2, count).astype(np.int64)
+    term, doc, tf = np.append(term, np.full(count, len(words.dictionary))), np.append(doc, np.arange(count)), np.append(tf, squares).astype(np.int64)
+    ends = np.append(np.flatnonzero(term[1:] != term[:-1]) + 1, len(term))
+    # the least length of each count of a term; a null text has none
+    long = pc.fill_null(lengths, 0).to_numpy().astype(np.int64)[doc]
+    by = np.lexsort((long, tf, term))
+    first = by[np.append(True, (term[by][1:] != term[by][:-1]) | (tf[by][1:] != tf[by][:-1]))]
+    tops = pa.StructArray.from_arrays([pa.array(tf[first]), pa.array(long[first].astype(np.int32))], ["tf", "dl"])
+    names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.array([""])]).take(pa.array(term[ends - 1]))
+    return pa.RecordBatch.from_arrays(
+        [names, pa.array(np.full(len(ends), span)), pa.array(np.diff(np.append(0, ends)).astype(np.int32)), _lists(tops, np.searchsorted(term[first], term[ends - 1], "right")), _lists(ids.take(pa.array(doc)), ends), _lists(tf, ends), _lists(lengths.take(pa.array(doc)).cast(pa.int32()), ends)],
+        ["term", "span", "n", "tops", "docs", "tfs", "dls"],
+    )
+
+
+def _span_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, s, span) to blocks: the documents of a span follow each other."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        span = rows.column("span").to_numpy()
+        ends = np.append(0, np.flatnonzero(span[1:] != span[:-1]) + 1)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            part = rows.slice(a, b - a).combine_chunks()
+            yield _blocks_of(part.column("doc_id").combine_chunks(), part.column("s").combine_chunks(), int(span[a]))
+        held = rows.slice(int(ends[-1]))
+    if held is not None and held.num_rows:
+        part = held.combine_chunks()
+        yield _blocks_of(part.column("doc_id").combine_chunks(), part.column("s").combine_chunks(), part.column("span")[0].as_py())
+
+
 class TermIndex:
     """An inverted index below ``path``, in a file system that all parts of Spark share."""
 
@@ -75,20 +120,14 @@ class TermIndex:
         index has or that come twice. A segment whose making failed or was refused is never read.
         """
         segment = uuid.uuid4().hex
-        rows = term_counts(docs, "doc_id", "text").withColumn("span", F.shiftright(F.monotonically_increasing_id(), SPAN_BITS))
         folder = f"{self.path}/%s/segment={segment}"
-        # the documents of a span themselves are the block of the empty term, with the squares of their norms
-        squares = F.coalesce(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x["tf"] * x["tf"]), F.lit(0).cast("long"))
-        itself = F.array(F.struct(F.lit("").alias("term"), squares.alias("tf")))
-        postings = rows.select("doc_id", "dl", "span", F.inline(F.concat(F.coalesce("v", F.array().cast(rows.schema["v"].dataType)), itself)))
-        entry = F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl")))  # a span's documents at most
-        blocks = postings.groupBy("term", "span").agg(entry.alias("p"), F.count("*").cast("int").alias("n"))
-        counts = F.array_distinct(F.transform("p", lambda x: x["tf"]))
-        least = lambda tf: F.array_min(F.transform(F.filter("p", lambda x: x["tf"] == tf), lambda x: x["dl"]))
-        tops = F.transform(counts, lambda tf: F.struct(tf.alias("tf"), least(tf).alias("dl")))
-        blocks = blocks.select("term", "span", "n", tops.alias("tops"), F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), F.pmod(F.hash("term"), F.lit(BUCKETS)).alias("bucket"))
+        words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens("text").alias("s"), F.shiftright(F.monotonically_increasing_id(), SPAN_BITS).alias("span"))
+        blocks = words.mapInArrow(_span_blocks, "term string, span long, n int, tops array<struct<tf:long,dl:int>>, docs array<long>, tfs array<long>, dls array<int>")
+        blocks = blocks.withColumn("bucket", F.pmod(F.hash("term"), F.lit(BUCKETS)))
         blocks.repartitionByRange("bucket", "term", "span").sortWithinPartitions("bucket", "term", "span").write.partitionBy("bucket").parquet(folder % "blocks")
-        rows.select("doc_id", "dl", "norm").write.parquet(folder % "docs")
+        own = self.spark.read.schema(_BLOCKS).parquet(folder % "blocks").filter((F.col("term") == "") & (F.col("bucket") == F.pmod(F.hash(F.lit("")), F.lit(BUCKETS))))
+        own = own.select(F.inline(F.arrays_zip("docs", "dls", "tfs")))
+        own.select(F.col("docs").alias("doc_id"), F.col("dls").alias("dl"), F.sqrt(F.col("tfs").cast("double")).alias("norm")).write.parquet(folder % "docs")
         added = self.spark.read.schema("doc_id long, dl int, norm double").parquet(folder % "docs")
         known = self._table("docs", _DOCS).select("doc_id", F.lit(0).alias("new"))
         twice = added.select("doc_id", F.lit(1).alias("new")).unionByName(known).groupBy("doc_id").agg(F.sum("new").alias("new"), F.count("*").alias("n"))
