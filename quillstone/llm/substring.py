@@ -205,19 +205,19 @@ def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
     total = max(often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
     hot = F.col("n") * HOT_SHARE >= total
     place = ["doc_id", "mark", "a"]
-    found = work.table(hot_join(every, often, "h1", hot, ["n"], salt=place).filter("n is not null").drop("n"), "found")
+    found = work.table(hot_join(every, often, "h1", hot, ["n"], salt=place, written=True).filter("n is not null").drop("n"), "found")
     work.drop(every)
     elsewhere = F.struct(*place) != F.col("first")
     key = F.hex(F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))).alias("h")
     classes = work.table(found.groupBy("h1", "h2").agg(F.min(F.struct(*place, "b")).alias("first"), F.count("*").alias("n")), "classes")
     several = classes.filter("n > 1").select(key, F.struct(*[F.col("first")[c].alias(c) for c in place]).alias("first"), "n")
-    whole = hot_join(found.select(key, *place, "b"), several, "h", hot, ["first"]).filter(elsewhere)
+    whole = hot_join(found.select(key, *place, "b"), several, "h", hot, ["first"], written=True).filter(elsewhere)
     gone = work.table(whole.select(*place, (F.col("b") + least - 1).alias("b")), "whole")
 
     # anchors of different segments: the runs of the first of each; and spans of sentences within segments
     mixed = work.table(classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "mixed")
     kinds = max(mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
-    part = hot_join(classes.select("h1", "h2", "first"), mixed, "h1", F.col("n") * HOT_SHARE >= kinds, ["n"], salt=["h2"]).filter("n is not null")
+    part = hot_join(classes.select("h1", "h2", "first"), mixed, "h1", F.col("n") * HOT_SHARE >= kinds, ["n"], salt=["h2"], written=True).filter("n is not null")
     part = part.select(*[F.col("first")[c].alias(c) for c in (*place, "b")], F.lit(True).alias("each"))
     part = part.unionByName(found.select(*place, "b", F.lit(False).alias("each")))
     part = part.groupBy(F.col("doc_id").alias("_d"), F.col("mark").alias("_m")).agg(F.collect_set(F.struct("a", "b", "each")).alias("segments"))
@@ -226,7 +226,7 @@ def repeated_spans(docs: DataFrame, least: int = SPAN_WORDS) -> DataFrame:
     spans = work.table(spans, "spans")
     first = work.table(spans.groupBy("h").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     most = max(first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 1)
-    later = hot_join(spans, first, "h", F.col("n") * HOT_SHARE >= most, ["first"]).filter(elsewhere)
+    later = hot_join(spans, first, "h", F.col("n") * HOT_SHARE >= most, ["first"], written=True).filter(elsewhere)
     gone = gone.unionByName(later.select(*place, "b"))
     return gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
