@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: These operators keep lists, maps and timers, which only this store has.
@@ -31,7 +32,7 @@ def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class _Changes(StatefulProcessor):
-    """The last value of each key."""
+    """The last value of each key; rows come and go as they are, since a table of pandas for each key takes longer than its rows."""
 
     def __init__(self, key: str, value: str, order: list[str], id_: str, ttl: int | None):
         self.key, self.value, self.order, self.id, self.ttl = key, value, order, id_, ttl
@@ -39,18 +40,16 @@ class _Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "value string", ttlDurationMs=self.ttl) if self.ttl else handle.getValueState("last", "value string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        known, last = self.last.exists(), None
-        if known:
-            last = self.last.get()[0]
-        found = []
-        batch = _in_order(rows, self.order)
-        for id_, value in zip(batch[self.id], batch[self.value], strict=True):
-            value = None if pd.isna(value) else str(value)
-            found.append((id_, "new" if not known else "unchanged" if value == last else "changed"))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        before = self.last.get()
+        known, last = before is not None, before[0] if before else None
+        made = Row(self.id, "outcome")
+        # a key's rows of one batch; nulls come last
+        for row in sorted(rows, key=lambda r: [(True,) if r[c] is None else (False, r[c]) for c in self.order]):
+            value = None if row[self.value] is None else str(row[self.value])
+            yield made(row[self.id], "new" if not known else "unchanged" if value == last else "changed")
             known, last = True, value
         self.last.update((last,))
-        yield pd.DataFrame({self.id: [f[0] for f in found], "outcome": [f[1] for f in found]})
 
     def close(self) -> None:
         pass
@@ -63,7 +62,7 @@ def changes(stream: DataFrame, key: str, value: str, order: list[str], id_: str,
     """
     rows = stream.select(*dict.fromkeys([key, value, *order, id_]))
     kind = rows.schema[id_].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(_Changes(key, value, order, id_, ttl_ms), f"{id_} {kind}, outcome string", "Append", "ProcessingTime" if ttl_ms else "None")
+    return rows.groupBy(key).transformWithState(_Changes(key, value, order, id_, ttl_ms), f"{id_} {kind}, outcome string", "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 class _Limiter(StatefulProcessor):
@@ -114,28 +113,10 @@ def rate_limited(stream: DataFrame, key: str, gap_ms: int, id_: str, time: str)
     return rows.groupBy("key").transformWithStateInPandas(_Limiter(gap_ms, "id", "at_ms"), "id long, at long", "Append", "EventTime")
 
 
-class _Totals(StatefulProcessor):
-    """A map of sums by kind, and how many rows there were."""
-
-    def __init__(self, key: str, kind: str, value: str, order: list[str]):
-        self.key, self.kind, self.value, self.order = key, kind, value, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getMapState("sums", "kind string", "n long, total double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        for kind, part in _in_order(rows, self.order).groupby(self.kind, dropna=False):
-            name = "" if pd.isna(kind) else str(kind)
-            n, total = self.sums.getValue((name,)) if self.sums.containsKey((name,)) else (0, 0.0)
-            self.sums.updateValue((name,), (n + len(part), total + float(part[self.value].fillna(0).sum())))
-        kinds = sorted((k[0], v[0], v[1]) for k, v in self.sums.iterator())
-        yield pd.DataFrame({self.key: [key[0]] * len(kinds), "kind": [k[0] for k in kinds], "n": [k[1] for k in kinds], "total": [k[2] for k in kinds]})
-
-    def close(self) -> None:
-        pass
-
-
 def totals(stream: DataFrame, key: str, kind: str, value: str, order: list[str]) -> DataFrame:
-    """(key, kind, n, total) of a key as of each batch that has rows of it: the last batch's rows are the state."""
-    rows = stream.select(*dict.fromkeys([key, kind, value, *order]))
-    return rows.groupBy(key).transformWithStateInPandas(_Totals(key, kind, value, order), f"{key} {rows.schema[key].dataType.simpleString()}, kind string, n long, total double", "Update", "None")
+    """(key, kind, n, total) of each key and kind as of each batch that has rows of it (output mode update).
+
+    A streaming aggregate: rows of a batch add up before they are moved, and the state is one row a key and kind. Sums
+    need no ``order``. As in SQL, null values don't add and null kinds are a kind.
+    """
+    return stream.groupBy(F.col(key), F.col(kind).cast("string").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
