@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import Tables, query
 from ..functions import hashing as H
 from ..functions import text as T
+from ..operators import grams
 
 NL = "chr(10)"
 #: Documents with deterministic noise behind the text, built alike in both engines.
@@ -197,7 +198,7 @@ def token_counts(t: Tables) -> DataFrame:
     b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY bigram"""
 )
 def bigram_counts(t: Tables) -> DataFrame:
-    return t.documents.select(T.letter_tokens("text").alias("w")).select(F.explode(T.ngrams(F.col("w"), 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+    return grams.pair_counts(t.documents, T.letter_tokens("text")).withColumnRenamed("pair", "bigram")
 
 
 @query(
