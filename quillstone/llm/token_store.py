@@ -15,6 +15,8 @@ twice leaves a file that nothing lists.
 
 from __future__ import annotations
 
+import gc
+import os
 import struct
 import uuid
 import zlib
@@ -36,6 +38,8 @@ FRAME_IDS = 1 << 24
 LEVEL = 1
 #: Bytes of text aimed at in a shard, and the chunks and cores whose ids a worker keeps (each emptied when full).
 SHARD_BYTES, CACHE_MOST, CORES_MOST = 64 << 20, 600_000, 1_200_000
+#: What stands between cores that the library is asked for as one text, and how many they are.
+BETWEEN, ASK_CORES = b"|", 128
 
 
 def default_tokenizer() -> str:
@@ -54,35 +58,58 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of a worker's node have its cores already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunks: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {b"": b""}
+
+        self.between = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
 
     def _ask(self, cores: list[bytes]) -> None:
-        for core, got in zip(cores, self.tokenizer.encode_batch_fast([c.decode() for c in cores], add_special_tokens=False), strict=True):
-            self.cores[core] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        """Have the ids of ``cores``: of groups joined by BETWEEN, where no core gives that id, else of each alone."""
+        joins = len(self.between) == 1
+        alone, rest = [c for c in cores if not joins or BETWEEN in c], [c for c in cores if joins and BETWEEN not in c]
+        groups = [rest[i : i + ASK_CORES] for i in range(0, len(rest), ASK_CORES)]
+        for group, got in zip(groups, self._ids([(b" " + BETWEEN + b" ").join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(got == self.between[0])
+            if len(at) != len(group) - 1:  # a core gives that id too
+                alone += group
+                continue
+            raw, start = got.tobytes(), 0
+            for core, end in zip(group, [*(4 * at).tolist(), len(raw)], strict=True):
+                self.cores[core] = raw[start:end]
+                start = end + 4
+        self.cores.update(zip(alone, (got.tobytes() for got in self._ids(alone)), strict=True))
+
+    def _ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for got in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
+            yield np.array(got.ids, "<u4")
 
     def learn(self, wanted: set[bytes]) -> None:
         """Have the ids of all ``wanted`` chunks in the table."""
         if len(self.chunks) + len(wanted) > CACHE_MOST:
             self.chunks = {}
         if len(self.cores) > CORES_MOST:
-            self.cores = {}
+            self.cores = {b"": b""}
         parts = {c: split_core(c) for c in wanted.difference(self.chunks)}
-        self._ask([*{x for p in parts.values() for x in p}.difference(self.cores)])
+        self._ask([*{x for p in parts.values() for x in p}.difference(self.cores, (b"",))])
         cores = self.cores
         self.chunks.update((c, cores[p[0]] + cores[p[1]]) for c, p in parts.items())
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null or empty: none."""
-        for at in range(0, len(texts), 64):
-            split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts[at : at + 64]]
-            self.learn(set().union(*split))
-            get = self.chunks.__getitem__
-            for chunks in split:
-                yield b"".join(map(get, chunks))
+        for start in range(0, len(texts), 64):
+            split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts[start : start + 64]]
+            found = [[*map(self.chunks.get, chunks)] for chunks in split]
+            gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+            self.learn({chunks[i] for chunks, at in zip(split, gaps, strict=True) for i in at})
+            table = self.chunks
+            for chunks, ids, at in zip(split, found, gaps, strict=True):
+                for i in at:
+                    ids[i] = table[chunks[i]]
+                yield b"".join(ids)
 
 
 #: ASCII punctuation but for the apostrophe.
@@ -197,14 +224,18 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
             return
         encode, (fs, root) = encoder(path).encode_all, open_fs(folder)
         name, n_docs, n_ids, least = f"{root}/{uuid.uuid4().hex}.ids.zst", 0, 0, first.column("doc_id")[0].as_py()
-        with fs.open_output_stream(name, compression=None) as sink:
-            out = ShardWriter(sink)
-            for batch in small_batches(chain([first], batches), "text"):
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(as_bytes(batch.column("text"))), strict=True):
-                    ids += tail
-                    out.add(doc, ids)
-                    n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4
-            out.close()
+        gc.disable()  # the tables hold no cycles
+        try:
+            with fs.open_output_stream(name, compression=None) as sink:
+                out = ShardWriter(sink)
+                for batch in small_batches(chain([first], batches), "text"):
+                    for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(as_bytes(batch.column("text"))), strict=True):
+                        ids += tail
+                        out.add(doc, ids)
+                        n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4
+                out.close()
+        finally:
+            gc.enable()
         yield pa.RecordBatch.from_pydict({"file": [name.rpartition("/")[2]], "n_docs": [n_docs], "n_ids": [n_ids], "first_doc": [least]})
 
     ordered = rows.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id")
