@@ -27,16 +27,20 @@ SCHEMA = "path string, kind string, at long, n_bytes long, title string, text st
 PART_BYTES = 16 << 20
 #: Bytes that tell what a file is, unless it begins with an object.
 HEAD_BYTES = 4096
-SUFFIXES = {"html": "html", "htm": "html", "xhtml": "html", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl"}
+SUFFIXES = {"html": "html", "htm": "html", "xhtml": "html", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "md": "text", "markdown": "text"}
 _MARKUP = re.compile(rb"\s*(?:<!doctype html|<html|<head|<body|<article|<div|<p[\s>])", re.IGNORECASE)
 #: Fields of a record that hold its text and title, in order of preference.
 TEXT_FIELDS, TITLE_FIELDS = ("text", "content", "page_content", "body", "desc"), ("title", "name", "heading")
+#: What is cut off around a field's value; other white space, as U+00A0, belongs to it.
+WHITE = " \t\n\r\x0b\x0c"
 
 
 def sniff(path: str, head: bytes) -> str:
-    """html, json, jsonl or text, by suffix or else by content; JSON lines may go by any suffix but those of HTML."""
+    """html, json, jsonl or text, by suffix or else by content; JSON lines may go by any suffix but those of HTML and Markdown, which may begin with markup or braces."""
     kind = SUFFIXES.get(path.rpartition("/")[2].rpartition(".")[2].lower())
     head = head.removeprefix(b"\xef\xbb\xbf")
+    if kind == "text":
+        return kind
     if kind == "html" or kind is None and _MARKUP.match(head):
         return "html"
     if head.lstrip()[:1] == b"{":
@@ -87,17 +91,21 @@ def _open(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root.replace("file:", "file://", 1) if re.match("file:/[^/]", root) else root if "://" in root else f"file://{root}")
 
 
-def _first(record: dict, names: tuple[str, ...]) -> str | None:
-    return next((record[n].strip() for n in names if isinstance(record.get(n), str) and record[n].strip()), None)
+def _first(record: dict, names: tuple[str, ...]) -> tuple[str | None, str | None]:
+    """(name, value) of the first field that holds more than white space."""
+    return next(((n, x) for n in names if isinstance(record.get(n), str) and (x := record[n].strip(WHITE))), (None, None))
 
 
 def of_json(raw: bytes) -> tuple[str | None, str]:
-    """(title, text) of a JSON value; raises ValueError."""
+    """(title, text) of a JSON value; raises ValueError. Where a field for the text is there and blank, the title is not taken for text."""
     text = raw.decode()
     value = json.loads(text)
-    if isinstance(value, dict) and (found := _first(value, TEXT_FIELDS)) is not None:
-        return _first(value, TITLE_FIELDS), found
-    return _first(value, TITLE_FIELDS) if isinstance(value, dict) else None, json_text(text)
+    if not isinstance(value, dict):
+        return None, json_text(text)
+    (named, title), (_, found) = _first(value, TITLE_FIELDS), _first(value, TEXT_FIELDS)
+    if found is None and any(isinstance(value.get(n), str) for n in TEXT_FIELDS):
+        text = json.dumps({k: v for k, v in value.items() if k != named})
+    return title, json_text(text) if found is None else found
 
 
 def of_text(raw: bytes) -> tuple[str | None, str]:
